@@ -62,7 +62,7 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ra
     some = F.coalesce(F.size("__own"), F.lit(0)) > 0
     made = F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text))
     dropped = F.when(some, F.size(_lines(F.col(text))) - F.size(kept)).otherwise(0).cast("long")
-    return joined.select(*[c for c in df.columns if c != text], made.alias("__made"), dropped.alias("n_lines_dropped")).withColumnRenamed("__made", text)
+    return joined.select(*[c for c in df.columns if c not in (text, "n_lines_dropped")], made.alias("__made"), dropped.alias("n_lines_dropped")).withColumnRenamed("__made", text)
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """Documents with the columns they came with, without boilerplate lines; n_chars, if there is one, is counted anew."""
