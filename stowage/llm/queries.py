@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, line_dedup, secret_scan, simhash_dedup
+from . import bpe, chat_format, decontaminate, line_dedup, secret_scan, simhash_dedup
 
-MODULES = (bpe, chat_format, line_dedup, secret_scan, simhash_dedup)
+MODULES = (bpe, chat_format, decontaminate, line_dedup, secret_scan, simhash_dedup)
 
 QUERIES = {name: query for module in MODULES for name, query, _ in module.registered()}
 ORACLES = {name: sql for module in MODULES for name, _, sql in module.registered() if sql}
