@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A list of hot buckets of up to so many rows, 16 bytes each, is broadcast; a longer one is joined.
+BROADCAST_ROWS = 200_000
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or the checkpoint folder already set.
 
@@ -87,7 +91,8 @@ def in_blocks(df: DataFrame, bucket: str, key: str, rows: int) -> DataFrame:
     blocks of about `rows` rows and every pair of blocks is a unit of its own, so that any two rows of the
     bucket meet in some unit and no unit grows with the bucket.
     """
-    hot = df.groupBy(bucket).agg(F.count("*").alias("__n")).where(F.col("__n") > rows)
+    hot = written(df.groupBy(bucket).agg(F.count("*").alias("__n")).where(F.col("__n") > rows))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     blocks = F.ceil(F.coalesce("__n", F.lit(1)) / F.lit(rows)).cast("int")
     dealt = df.join(hot, bucket, "left").withColumn("__blocks", blocks).withColumn("__own", F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.col("__blocks")).cast("int"))
     others = F.when(F.col("__blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda x: x != F.col("__own")))
