@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .decontaminate import words_of
 
 #: The model is fitted on at most so many labelled documents, those with the smallest hashes of their ids.
 LABELLED_ROWS = 8000
+#: How many standard deviations a feature has to go with a label.
+LEAST_Z = 5.0
 #: Features of a model at most, by how strongly they go with a label; and in how many documents one has to be.
 FEATURES, LEAST_DOCUMENTS = 20_000, 3
 #: How far, in log odds, a site's rate may move a document at most: a bad site alone never rejects a good document.
@@ -37,17 +40,24 @@ _SYMBOL = b"!#$%&*+<=>@[\\]^_`{|}~"
 
 
 def shape_of(text: bytes, words: list[bytes], distinct: set[bytes]) -> list[bytes]:
-    """Features of a text as a whole; their first byte is in no word."""
-    size = max(1, len(text))
-    step = lambda name, x: b" " + name + b"%d" % x
+    """Features of a text as a whole: in which step its measures are. Their names begin with two blanks."""
+    size, n = max(1, len(text)), max(1, len(words))
+    step = lambda share: min(26, int(4 * math.log2(1 + 100 * share)))
+    repeated = sum(map(eq, words, words[1:])) / n
     return [
-        step(b"upper", int(10 * (len(text) - len(text.translate(None, _UPPER))) / size)),
-        step(b"symbol", int(20 * (len(text) - len(text.translate(None, _SYMBOL))) / size)),
-        step(b"distinct", int(5 * len(distinct) / max(1, len(words))) * 10 + min(9, int(math.log2(len(words) + 1)) // 2)),
-        step(b"mean", min(12, len(text) // max(1, len(words)))),
+        b"  upper%d" % step((len(text) - len(text.translate(None, _UPPER))) / size),
+        b"  symbol%d" % step((len(text) - len(text.translate(None, _SYMBOL))) / size),
+        b"  repeated%d" % step(repeated),
+        b"  distinct%d of %d" % (int(5 * len(distinct) / n), min(8, int(math.log2(n)) // 2)),
+        b"  mean%d" % min(12, len(text) // n),
     ]
 
 
+def _share(distinct: int) -> float:
+    """What a word weighs for the quality of a text: in long texts less, or the noise of many words outweighs its shape."""
+    return 1 / math.sqrt(max(1.0, distinct / 100))
+
+
 def _parts(word: bytes) -> tuple[bytes, ...]:
     """A word's features: itself and how it begins."""
     return (word, b" 4" + word[:4], b" 5" + word[:5]) if len(word) > 5 else (word, b" 4" + word[:4]) if len(word) > 4 else (word,)
@@ -82,18 +92,19 @@ class Model:
         known, weights = self.words, self.weights
         if len(known) > 500_000:  # a cache only
             known.clear()
-        total = self.bias
+        total = 0j
         for word in distinct:
             value = known.get(word)
             if value is None:
                 value = known[word] = sum((weights.get(p, 0) for p in _parts(word)), 0j)
             if value:
                 total += value
-        return total + sum(weights.get(s, 0) for s in shape_of(text, words, distinct))
+        shape = sum((weights.get(s, 0) for s in shape_of(text, words, distinct)), self.bias)
+        return shape + complex(total.real * _share(len(distinct)), total.imag)
 
 
-def _fitted(rows: list[Counter], labels: np.ndarray) -> tuple[float, dict[bytes, float]]:
-    """A logistic model of labels (0 or 1) with few features and small weights."""
+def _fitted(rows: list[Counter], labels: np.ndarray, shared: bool) -> tuple[float, dict[bytes, float]]:
+    """A logistic model of labels (0 or 1) with few features and small weights; shared: words weigh less in long texts."""
     positive = labels == 1
     if not len(labels) or positive.all() or not positive.any():
         return (0.0 if not len(labels) else 4.0 if positive.all() else -4.0), {}
@@ -108,17 +119,18 @@ def _fitted(rows: list[Counter], labels: np.ndarray) -> tuple[float, dict[bytes,
     for f, n in total.items():
         if n >= LEAST_DOCUMENTS:
             z = (inside[f] - n * rate) / math.sqrt(n * rate * (1 - rate))
-            if abs(z) >= 3:
+            if abs(z) >= LEAST_Z:
                 ranked.append((-abs(z), f))
     names = [f for _, f in sorted(ranked)[:FEATURES]]
     of = {f: k for k, f in enumerate(names)}
     row, column, value = [], [], []
     for k, found in enumerate(rows):
+        share = _share(sum(f[:1] != b" " for f in found)) if shared else 1.0
         for f, n in found.items():
             if (c := of.get(f)) is not None:
                 row.append(k)
                 column.append(c)
-                value.append(min(n, 3))
+                value.append(n if f[:2] == b"  " else n * share)
     row, column, value = np.array(row, np.int64), np.array(column, np.int64), np.array(value, np.float64)
     w, b = np.zeros(len(names)), math.log(rate / (1 - rate))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -152,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     heads = []
     for head in HEADS:
         rows_of = [r for r in got if r[head] is not None]
-        heads.append(_fitted([Counter(dict(zip(map(bytes, r.names), r.counts, strict=True))) for r in rows_of], np.array([r[head] for r in rows_of])))
+        heads.append(_fitted([Counter(dict(zip(map(bytes, r.names), r.counts, strict=True))) for r in rows_of], np.array([r[head] for r in rows_of]), head == "quality"))
     (a, good), (b, bad) = heads
     return Model(complex(a, b), {f: complex(good.get(f, 0), bad.get(f, 0)) for f in {**good, **bad}})
 
