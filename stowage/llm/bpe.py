@@ -21,8 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
-
-from .common import per_text
+from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE cuts text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -151,36 +150,33 @@ def shipped(spark: SparkSession, path: str) -> str:
     return path.rpartition("/")[2]
 
 
-def tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids (array<int>) and decoded (string) of every whole text.
+def encoded(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), ids: bool = True) -> DataFrame:
+    """id_col, the columns in keep, n_tokens, ids (array<int>, if wanted), ids_sha256 and decoded_sha256, one row for each row of df.
 
-    One row for each row of df; a null text is an empty one and has no ids. Special tokens' strings in a text become
-    these tokens, as the tokenizers library has it; they are decoded like others. Other columns are not looked at.
+    ids_sha256 is of the ids as little-endian 32-bit integers, decoded_sha256 of the UTF-8 of the decoded text. A null
+    text is an empty one and has no ids. Special tokens' strings in a text become these tokens, as the tokenizers
+    library has it, and are decoded like others. Repeated ids stay; no rows give no rows.
     """
     name = shipped(df.sparkSession, vocabulary)
-    out = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    source = df.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("binary").alias("__bytes"))
 
-    def work(texts: list[bytes | None]) -> dict[str, list]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = from_file(SparkFiles.get(name))
-        coded = bpe.encode_all([(t or b"").decode() for t in texts])
-        return {"ids": [np.frombuffer(c, "<u4").astype(np.int32) for c in coded], "decoded": [bpe.decode(c) for c in coded]}
-
-    made = df.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as binary) as text").mapInArrow(per_text(work, out, ["id"], "text"), "id long, ids array<int>, decoded string")
-    return made.withColumnRenamed("id", id_col)
-
-
-def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, n_tokens, ids_sha256 and decoded_sha256 of every text, as tokens() gives them, beside the columns in keep."""
-    name = shipped(df.sparkSession, vocabulary)
-    source = df.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as binary) as text")
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    def work(texts: list[bytes | None]) -> dict[str, list]:
-        bpe = from_file(SparkFiles.get(name))
-        coded = bpe.encode_all([(t or b"").decode() for t in texts])
-        return {"n_tokens": [len(c) // 4 for c in coded], "ids_sha256": [hashlib.sha256(c).hexdigest() for c in coded], "decoded_sha256": [hashlib.sha256(bpe.decode(c).encode()).hexdigest() for c in coded]}
-
-    made = source.mapInArrow(per_text(work, out, ["id"], "text", 2048), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                coded = bpe.encode_all([(t or b"").decode() for t in part.column("__bytes").to_pylist()])
+                kept = [c for c in part.schema.names if c != "__bytes"]
+                made = {"n_tokens": pa.array([len(c) // 4 for c in coded], pa.int64())}
+                if ids:
+                    edges = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                made["ids_sha256"] = pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string())
+                made["decoded_sha256"] = pa.array([hashlib.sha256(bpe.decode(c).encode()).hexdigest() for c in coded], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made.values()], [*kept, *made])
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__bytes")
+    made = source.mapInArrow(run, f"{head}, n_tokens long{', ids array<int>' if ids else ''}, ids_sha256 string, decoded_sha256 string")
     return made.withColumnRenamed("id", id_col)
 
 
@@ -192,7 +188,7 @@ def vocabulary_path() -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())
+    return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path(), ids=False)
 
 
 def registered() -> Iterator[tuple]:

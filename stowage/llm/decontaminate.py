@@ -177,6 +177,13 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return source.mapInArrow(run, f"{head}, {types}").withColumnRenamed("id", id_col)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
+    """Documents with windows of fewer than least_items items, with the columns they came with."""
+    keep = tuple(c for c in docs.columns if c != "doc_id")
+    found = matches(docs, benchmark, keep=keep)
+    return found.where(F.size("items") < least_items).select(*docs.columns)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     found = matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

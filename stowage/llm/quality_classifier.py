@@ -240,6 +240,11 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return joined.select(*docs.columns, good.alias("p_quality"), bad.alias("p_toxic")).withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") <= 0.5))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that are kept, with the columns they came with."""
+    return classified(docs, labels).where("kept").select(*docs.columns)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents classified."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")

@@ -31,7 +31,7 @@ def test_fingerprints():
     rng = random.Random(2)
     texts = ["".join(rng.choices("aBcÉ \t\x0b\x1c\x85 \n", k=rng.randrange(0, 50))) for _ in range(500)] + ["", None, "x " * 40000]
     for t in texts:
-        assert S.fingerprint(None if t is None else t.encode()) == brute_fingerprint(t)
+        assert S.fingerprint(None if t is None else t.encode()) == [brute_fingerprint(t)]
 
 
 def test_index_finds_all_close_pairs():
@@ -59,7 +59,7 @@ def test_components(spark, monkeypatch):
         rows.append((1000 - k, code))
     rows.append((-5, 0))
     signed = [(i, c - (1 << 64) if c >> 63 else c) for i, c in rows]
-    found = {r.code: r.component for r in S.components(spark.createDataFrame(signed, "id long, code long")).collect()}
+    found = {r.code[0]: r.component for r in S.components(spark.createDataFrame([(i, [c]) for i, c in signed], "id long, code array<long>")).collect()}
     want = brute_components([i for i, _ in rows], [c for _, c in rows])
     assert [found[c] for _, c in signed] == want
 
@@ -69,3 +69,23 @@ def test_edge_cases(spark):
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, code string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (2, 1), (3, 3), (3, 3)]
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_sets(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(60):
+        text = rng.choices(words, k=400)
+        rows.append((k, " ".join(text)))
+        near = list(text)
+        for at in rng.sample(range(400), 3):  # at most 15 of 396 shingles, a similarity over 0.9
+            near[at] = "other"
+        rows.append((1000 + k, " ".join(near)))
+        far = [w if rng.random() < 0.8 else "x" for w in text]  # about a third of the shingles stay
+        rows.append((2000 + k, " ".join(far)))
+    df = spark.createDataFrame([(i, t, "keep") for i, t in rows], "doc_id long, text string, code string")
+    left = S.one_of_each(df)
+    assert left.columns == df.columns
+    ids = {r.doc_id for r in left.collect()}
+    assert ids == {k for k in range(60)} | {2000 + k for k in range(60)}
