@@ -124,7 +124,7 @@ def _counted(docs: DataFrame, windows: dict[Window, list[str]]) -> dict[Window,
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
-    found = docs.select(F.col("text").cast("binary")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("__bytes").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     return {names[r.k]: r.n for r in found}
 
 
@@ -135,7 +135,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     as strings, of the items they belong to. Null and empty texts have no words. Items of null id or without
     words match nothing; items of equal id are one item. An empty benchmark leaves all documents without hits.
     """
-    docs = df.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("__id"), *keep, F.col(text_col).cast("binary").alias("__bytes"))
     spark = df.sparkSession
     blocks = []
     for windows in _blocks(benchmark, item_col, item_text, window):
@@ -156,7 +156,7 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                cut = [words_of(t) for t in part.column("bytes").to_pylist()]
+                cut = [words_of(t) for t in part.column("__bytes").to_pylist()]
                 ranges: list[set] = [set() for _ in cut]
                 items: list[set] = [set() for _ in cut]
                 for block in blocks:  # a block is in memory only while these documents are matched against it
@@ -168,13 +168,11 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     if len(blocks) > 1:
                         del index, block._value
                 made = [pa.array([len(w) for w in cut], pa.int64()), pa.array([merged(r) for r in ranges], pair), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                kept = [c for c in part.schema.names if c != "bytes"]
+                kept = [c for c in part.schema.names if c != "__bytes"]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, [*kept, "n_words", "hits", "items"])
 
-    source = docs.withColumn("bytes", F.col("text").cast("binary"))
-    source = source if "text" in keep else source.drop("text")
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "bytes")
-    return source.mapInArrow(run, f"{head}, {types}").withColumnRenamed("id", id_col)
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__bytes")
+    return docs.mapInArrow(run, f"{head}, {types}").withColumnRenamed("__id", id_col)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:

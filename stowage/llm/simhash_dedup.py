@@ -37,7 +37,7 @@ SIMILAR = {"shingle": 5, "words": 8, "bits": 78, "word_bits": 24, "distinct": Tr
 
 def _more(hashed: np.ndarray, word: int) -> np.ndarray:
     """The shingles' hashes for a further word of the fingerprint."""
-    x = (hashed + np.uint64(word) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (hashed + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
 

@@ -29,7 +29,9 @@ from .common import whole_runs, written
 
 LENGTH, PIECE = 100, 20
 #: Bytes that are looked at together; a longer text is cut into parts that overlap by length - 1 bytes.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Texts whose anchors are compared before they are sent.
+TEXTS = 2048
 #: Contexts of one anchor that are sorted together; an anchor with more goes string by string.
 CONTEXTS = 200_000
 
@@ -137,7 +139,7 @@ _SEEN = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("doc", pa.int6
 
 def _anchored(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The anchors of all texts; a context that these texts have earlier is settled here and not sent to be compared."""
-    for batch in batches:
+    for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
         docs = batch.column("doc").to_numpy()
         which, anchor, first, last, hashes, context = anchors(batch.column("text").to_pylist(), length)
         doc, place = docs[which], _packed(anchor, first, last)
