@@ -103,45 +103,47 @@ class Model:
         return shape + complex(total.real * _share(len(distinct)), total.imag)
 
 
-def _fitted(rows: list[Counter], labels: np.ndarray, shared: bool) -> tuple[float, dict[bytes, float]]:
-    """A logistic model of labels (0 or 1) with few features and small weights; shared: words weigh less in long texts."""
-    positive = labels == 1
-    if not len(labels) or positive.all() or not positive.any():
-        return (0.0 if not len(labels) else 4.0 if positive.all() else -4.0), {}
-    inside: Counter = Counter()
-    total: Counter = Counter()
-    for found, yes in zip(rows, positive, strict=True):
-        total.update(found.keys())
-        if yes:
-            inside.update(found.keys())
+def _fitted(row: np.ndarray, column: np.ndarray, value: np.ndarray, positive: np.ndarray, features: int) -> tuple[float, np.ndarray]:
+    """Bias and weights of a logistic model of labels, with small weights; features are given by place and value."""
+    weights = np.zeros(features)
+    if not len(positive) or positive.all() or not positive.any():
+        return (0.0 if not len(positive) else 4.0 if positive.all() else -4.0), weights
     rate = positive.mean()
-    ranked = []
-    for f, n in total.items():
-        if n >= LEAST_DOCUMENTS:
-            z = (inside[f] - n * rate) / math.sqrt(n * rate * (1 - rate))
-            if abs(z) >= LEAST_Z:
-                ranked.append((-abs(z), f))
-    names = [f for _, f in sorted(ranked)[:FEATURES]]
-    of = {f: k for k, f in enumerate(names)}
-    row, column, value = [], [], []
-    for k, found in enumerate(rows):
-        share = _share(sum(f[:1] != b" " for f in found)) if shared else 1.0
-        for f, n in found.items():
-            if (c := of.get(f)) is not None:
-                row.append(k)
-                column.append(c)
-                value.append(n if f[:2] == b"  " else n * share)
-    row, column, value = np.array(row, np.int64), np.array(column, np.int64), np.array(value, np.float64)
-    w, b = np.zeros(len(names)), math.log(rate / (1 - rate))
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    bias = math.log(rate / (1 - rate))
+    m, v = np.zeros(features + 1), np.zeros(features + 1)
     for step in range(1, 151):
-        z = np.bincount(row, value * w[column], len(rows)) + b
+        z = np.bincount(row, value * weights[column], len(positive)) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - positive
-        slope = np.append(np.bincount(column, value * error[row], len(names)) / len(rows) + 1e-4 * w, error.mean())
+        slope = np.append(np.bincount(column, value * error[row], features) / len(positive) + 1e-4 * weights, error.mean())
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return float(b), dict(zip(names, w.tolist(), strict=True))
+        weights, bias = weights - move[:-1], bias - move[-1]
+    return float(bias), weights
+
+
+def _chosen(sample: DataFrame, head: str) -> list[bytes]:
+    """The features that go with a head's label most strongly, counted over the sample by the executors."""
+    own = sample.where(F.col(head).isNotNull())
+    whole = own.agg(F.count("*").alias("n"), F.avg(F.col(head).cast("double")).alias("rate")).first()
+    if not whole.n or whole.rate in (0.0, 1.0):
+        return []
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter = Counter()
+            inside: Counter = Counter()
+            for text, label in zip(batch.column("text").to_pylist(), batch.column(head).to_pylist(), strict=True):
+                found = features_of(text).keys()
+                total.update(found)
+                if label == 1:
+                    inside.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64()), pa.array([inside[f] for f in total], pa.int64())], ["f", "n", "k"])
+
+    counts = own.select("text", head).mapInArrow(count, "f binary, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    rate = F.lit(whole.rate)
+    z = F.abs((F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
+    best = counts.where(F.col("n") >= LEAST_DOCUMENTS).select("f", z.alias("z")).where(F.col("z") >= LEAST_Z)
+    return [bytes(r.f) for r in best.orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS) -> Model:
@@ -150,23 +152,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Null labels are left out of their head. A head without labels of both values is the same for all documents,
     and without any labels both heads are undecided, which keeps documents.
     """
-    chosen = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
-    out = pa.schema([("names", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("quality", pa.int32()), ("toxic", pa.int32())])
-
-    def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    sample = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(known), "id").select("text", "quality", "toxic"))
+    names = {head: _chosen(sample, head) for head in HEADS}
+    every = sorted({f for found in names.values() for f in found})
+    sent = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(every)})
+    out = pa.schema([("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("share", pa.float64()), ("quality", pa.int32()), ("toxic", pa.int32())])
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sent.value
         for batch in batches:
-            found = [features_of(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in found], out[0].type), pa.array([list(f.values()) for f in found], out[1].type), batch.column("quality"), batch.column("toxic")], schema=out)
-
-    got = source.select("id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(extract, "names array<binary>, counts array<int>, quality int, toxic int").collect()
-    heads = []
+            places, counts, shares = [], [], []
+            for text in batch.column("text").to_pylist():
+                found = features_of(text)
+                some = [(of[f], n) for f, n in found.items() if f in of]
+                places.append([p for p, _ in some])
+                counts.append([n for _, n in some])
+                shares.append(_share(sum(f[:1] != b" " for f in found)))
+            yield pa.RecordBatch.from_arrays([pa.array(places, out[0].type), pa.array(counts, out[1].type), pa.array(shares), batch.column("quality"), batch.column("toxic")], schema=out)
+
+    got = sample.mapInArrow(place, "places array<int>, counts array<int>, share double, quality int, toxic int").toArrow().combine_chunks()
+    sizes = np.diff(got.column("places").combine_chunks().offsets.to_numpy()) if len(got) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(got)), sizes)
+    column, counts = (np.asarray(got.column(c).combine_chunks().flatten(), np.int64) if len(got) else np.zeros(0, np.int64) for c in ("places", "counts"))
+    is_shape = np.array([f[:2] == b"  " for f in every], bool)
+    biases, weights = [], []
     for head in HEADS:
-        rows_of = [r for r in got if r[head] is not None]
-        heads.append(_fitted([Counter(dict(zip(map(bytes, r.names), r.counts, strict=True))) for r in rows_of], np.array([r[head] for r in rows_of]), head == "quality"))
-    (a, good), (b, bad) = heads
-    return Model(complex(a, b), {f: complex(good.get(f, 0), bad.get(f, 0)) for f in {**good, **bad}})
+        labelled = np.array([x is not None for x in got.column(head).to_pylist()], bool)
+        positive = np.array([x == 1 for x in got.column(head).to_pylist()], bool)[labelled]
+        allowed = np.zeros(len(every), bool)
+        own_names = set(names[head])
+        allowed[[k for k, f in enumerate(every) if f in own_names]] = True
+        keep = labelled[row] & allowed[column] if len(row) else np.zeros(0, bool)
+        value = counts.astype(float)
+        if head == "quality" and len(row):
+            value = np.where(is_shape[column], value, value * got.column("share").to_numpy()[row])
+        bias, own = _fitted((np.cumsum(labelled) - 1)[row][keep] if len(row) else row, column[keep], value[keep], positive, len(every))
+        biases.append(bias)
+        weights.append(own)
+    return Model(complex(*biases), {f: complex(weights[0][k], weights[1][k]) for k, f in enumerate(every) if weights[0][k] or weights[1][k]})
 
 
 def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
