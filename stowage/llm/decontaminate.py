@@ -128,19 +128,26 @@ def _counted(docs: DataFrame, windows: dict[Window, list[str]]) -> dict[Window,
     return {names[r.k]: r.n for r in found}
 
 
-def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns in keep, n_words, hits (array of word ranges, end exclusive) and items (array<string>), one row for each row of df.
+def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """id_col, n_words, hits (array of word ranges, end exclusive) and items (array<string>), one row for each row of df.
 
     hits are the ranges of all windows that occur, merged where they overlap or touch; items are the sorted ids,
     as strings, of the items they belong to. Null and empty texts have no words. Items of null id or without
     words match nothing; items of equal id are one item. An empty benchmark leaves all documents without hits.
+    Other columns are not looked at.
     """
+    found = _matched(df, benchmark, id_col, text_col, item_col, item_text, window, ())
+    return found.select(F.col("__id").alias(id_col), F.col("__n_words").alias("n_words"), F.col("__hits").alias("hits"), F.col("__items").alias("items"))
+
+
+def _matched(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, keep: tuple[str, ...]) -> DataFrame:
+    """__id, the columns in keep, __n_words, __hits and __items."""
     docs = df.select(F.col(id_col).alias("__id"), *keep, F.col(text_col).cast("binary").alias("__bytes"))
     spark = df.sparkSession
     blocks = []
     for windows in _blocks(benchmark, item_col, item_text, window):
         blocks.append(spark.sparkContext.broadcast(Prefixes(windows, _counted(docs, windows))))
-    types = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
+    types = "__n_words long, __hits array<struct<start:int,end:int>>, __items array<string>"
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def merged(ranges: Iterable[tuple[int, int]]) -> list[dict[str, int]]:
@@ -169,17 +176,16 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         del index, block._value
                 made = [pa.array([len(w) for w in cut], pa.int64()), pa.array([merged(r) for r in ranges], pair), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                 kept = [c for c in part.schema.names if c != "__bytes"]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, [*kept, "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, [*kept, "__n_words", "__hits", "__items"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__bytes")
-    return docs.mapInArrow(run, f"{head}, {types}").withColumnRenamed("__id", id_col)
+    return docs.mapInArrow(run, f"{head}, {types}")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
     """Documents with windows of fewer than least_items items, with the columns they came with."""
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    found = matches(docs, benchmark, keep=keep)
-    return found.where(F.size("items") < least_items).select(*docs.columns)
+    found = _matched(docs, benchmark, "doc_id", "text", "item_id", "text", WINDOW, tuple(docs.columns))
+    return found.where(F.size("__items") < least_items).select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,23 +251,30 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """docs with p_quality, p_toxic (posteriors) and kept, which is false for poor or toxic documents.
 
     One row for each row of docs. A null host or path is a value like any other; a null text is an empty one and has
-    the evidence of its shape. docs must not have columns of these three names.
+    the evidence of its shape. Columns that docs has of these three names are replaced.
     """
+    names = {"__p_quality": "p_quality", "__p_toxic": "p_toxic", "__kept": "kept"}
+    made = _judged(docs, labels, id_col, text_col, host, path)
+    return made.select(*[c for c in docs.columns if c not in names.values()], *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: str, path: str) -> DataFrame:
+    """docs with __p_quality, __p_toxic and __kept."""
     model = fit(docs, labels, id_col, text_col)
     own = docs.select(host, path, text_col) if host != path else docs.select(host, text_col)
     sites = written(site_rates(_scored(own, model, text_col).select(host, path, "__good", "__bad"), host, path))
-    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "good_shift", "bad_shift")
+    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("good_shift").alias("__good_shift"), F.col("bad_shift").alias("__bad_shift"))
     if sites.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
     scored = _scored(docs, model, text_col)
     joined = scored.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
-    good, bad = (1 / (1 + F.exp(-(F.col(a) + F.coalesce(b, F.lit(0.0))))) for a, b in (("__good", "good_shift"), ("__bad", "bad_shift")))
-    return joined.select(*docs.columns, good.alias("p_quality"), bad.alias("p_toxic")).withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") <= 0.5))
+    good, bad = (1 / (1 + F.exp(-(F.col(a) + F.coalesce(b, F.lit(0.0))))) for a, b in (("__good", "__good_shift"), ("__bad", "__bad_shift")))
+    return joined.select(*docs.columns, good.alias("__p_quality"), bad.alias("__p_toxic")).withColumn("__kept", (F.col("__p_quality") >= 0.5) & (F.col("__p_toxic") <= 0.5))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are kept, with the columns they came with."""
-    return classified(docs, labels).where("kept").select(*docs.columns)
+    return _judged(docs, labels, "doc_id", "text", "source", "lang").where("__kept").select(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

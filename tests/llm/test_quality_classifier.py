@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import quality_classifier as Q
 
-DOCS = "doc_id long, text string, source string, lang string, kept_by string"
+DOCS = "doc_id long, text string, source string, lang string, host string"
 
 
 def corpus(seed, n):
@@ -29,7 +29,7 @@ def test_held_out_accuracy(spark):
     docs, labels = corpus(1, 900)
     fitted = [x for x in labels if x[0] % 2]
     made = Q.classified(spark.createDataFrame(docs, DOCS), spark.createDataFrame(fitted, "doc_id long, quality int, toxic int"))
-    assert made.columns == ["doc_id", "text", "source", "lang", "kept_by", "p_quality", "p_toxic", "kept"]
+    assert made.columns == ["doc_id", "text", "source", "lang", "host", "p_quality", "p_toxic", "kept"]
     kept = {r.doc_id: r.kept for r in made.collect()}
     assert len(kept) == 900
     held = [x for x in labels if x[0] % 2 == 0]
@@ -54,4 +54,6 @@ def test_edges(spark):
     assert Q.classified(docs, none).where("kept").count() == 4
     some = spark.createDataFrame([(1, None, 0), (2, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     assert Q.accepted(docs, some).columns == docs.columns
+    clash = docs.withColumns({"kept": F.lit("no"), "good_shift": F.lit(1)})
+    assert Q.accepted(clash, some).columns == clash.columns and Q.classified(clash, some).columns.count("kept") == 1
     assert Q.classified(docs.where(F.lit(False)), some).count() == 0
