@@ -198,3 +198,14 @@ def test_windowed_counts(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     made = windowed_counts(events)
     assert made.agg(F.sum("n_events")).first()[0] == events.count()
+
+
+def test_blob_source(spark, tmp_path):
+    from stowage.sources.datasource import register
+
+    archive = Archive(spark, str(tmp_path / "a"), "text", max_bin_size=100)
+    archive.append(texts(spark, 20))
+    register(spark)
+    raw = spark.read.format("blob").load(str(tmp_path / "a"))
+    assert raw.rdd.getNumPartitions() == archive.summary().first().n_bins
+    assert {r.id: r.text for r in decode(raw, "text").collect()} == contents(archive)
