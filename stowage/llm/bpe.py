@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Fixed value: how byte-level BPE cuts text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose encodings a worker keeps; beyond that it forgets them and goes on. Results don't depend on it.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -92,6 +92,7 @@ class Bpe:
         """Put the encodings of words, as little-endian 32-bit ids, into `known`."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
+        if len(self.follows) > KEPT_WORDS:
             self.follows.clear()
         coded = sorted((w.encode(), w) for w in words if w not in self.known)
         id_of, size, may_follow = self.id_of, self.bytes_of, self.may_follow

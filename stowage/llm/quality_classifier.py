@@ -90,7 +90,7 @@ class Model:
         words = words_of(text)
         distinct = set(words)
         known, weights = self.words, self.weights
-        if len(known) > 500_000:  # a cache only
+        if len(known) > 200_000:  # a cache only
             known.clear()
         total = 0j
         for word in distinct:
