@@ -8,6 +8,7 @@ begins, and a forward one where its longest form ends. The next match of the rul
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -126,5 +127,40 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(per_text(work, out, ["id"], "text", 4096), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
+def _expression(rule: Rule, pattern: str) -> str:
+    """A pattern for SQL: letters in either case written out, quotes doubled, inner groups not counted."""
+    if rule.either_case and pattern == rule.after:
+        pattern = re.sub(r"\\x[0-9A-F]{2}|[A-Za-z]", lambda m: m[0] if m[0][0] == "\\" else f"[{m[0].lower()}{m[0].upper()}]", pattern)
+    return pattern.replace("(", "(?:").replace("'", "''")
+
+
+def spans_sql(table: str) -> str:
+    """SQL for (doc_id, k, first, last) of all secrets: every match with all that stands before it since the last one."""
+    parts = []
+    for k, rule in enumerate(RULES):
+        head = _expression(rule, rule.after)
+        body = _expression(rule, rule.pattern.removeprefix(rule.after))
+        every = f"'(?s)(.*?)({head})({body})'"
+        parts.append(f"""
+  SELECT doc_id, {k} AS k, ends[p] - len(heads[p]) - len(bodies[p]) AS first, ends[p] AS last FROM (
+    SELECT *, unnest(generate_series(1, len(bodies))) AS p FROM (
+      SELECT *, list_transform(generate_series(1, len(gaps)), lambda q: list_sum(list_transform(generate_series(1, q), lambda z: len(gaps[z]) + len(heads[z]) + len(bodies[z])))::BIGINT) AS ends FROM (
+        SELECT doc_id, regexp_extract_all(text, {every}, 1) AS gaps, regexp_extract_all(text, {every}, 2) AS heads, regexp_extract_all(text, {every}, 3) AS bodies FROM {table})))
+  WHERE len(bodies[p]) >= {rule.least}""")
+    return " UNION ALL ".join(parts)
+
+
+_KINDS = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+OP9_SQL = f"""
+WITH spans AS ({spans_sql("documents")}),
+named AS (SELECT *, {_KINDS}[k + 1] || ':' || first || ':' || last AS s FROM spans),
+found AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))},
+    coalesce(string_agg(s, ',' ORDER BY first, k) FILTER (k < {len(BASE)}), '') AS base, string_agg(s, ',' ORDER BY first, k) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+
 def registered() -> Iterator[tuple]:
-    yield "op9_secret_scan", op9_secret_scan, None
+    yield "op9_secret_scan", op9_secret_scan, OP9_SQL

@@ -374,5 +374,21 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: All strings of all documents, for the small tables the SQL is run on.
+OP6_SQL = f"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+places AS (SELECT doc_id, h, unnest(generate_series(0, n - {LENGTH})) AS i FROM docs WHERE n >= {LENGTH}),
+strings AS (SELECT doc_id, i, substring(h, 2 * i + 1, {2 * LENGTH}) AS s FROM places),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM strings) WHERE r > 1),
+heads AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM heads) GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a) AS removed FROM runs GROUP BY doc_id),
+whole AS (SELECT d.doc_id, h, n, coalesce(starts, []) AS starts, coalesce(ends, []) AS ends, coalesce(removed, 0) AS removed FROM docs d LEFT JOIN cuts c ON d.doc_id = c.doc_id),
+edges AS (SELECT *, list_concat([0], ends) AS begins, list_concat(starts, [n]) AS stops FROM whole),
+kept AS (SELECT *, array_to_string(list_transform(generate_series(1, len(begins)), lambda k: substring(h, 2 * begins[k] + 1, 2 * (stops[k] - begins[k]))), '') AS rest FROM edges)
+SELECT doc_id, n AS n_bytes, removed::BIGINT AS n_removed, len(starts)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
+
 def registered() -> Iterator[tuple]:
-    yield "op6_suffix_dedup", op6_suffix_dedup, None
+    yield "op6_suffix_dedup", op6_suffix_dedup, OP6_SQL
