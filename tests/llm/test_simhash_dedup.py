@@ -89,3 +89,39 @@ def test_similar_sets(spark):
     assert left.columns == df.columns
     ids = {r.doc_id for r in left.collect()}
     assert ids == {k for k in range(60)} | {2000 + k for k in range(60)}
+
+
+def grams(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_sets_decide(spark):
+    """Planted pairs, long and short ones: all at 0.8 or more are found, none below."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    rows, want = [], set()
+    for k in range(1200):
+        n = rng.randrange(9, 16) if k % 2 else rng.randrange(60, 400)
+        text = rng.choices(words, k=n)
+        near = list(text)
+        while len(a := grams(" ".join(text))) and len(a & (b := grams(" ".join(near)))) / len(a | b) > 0.86:
+            at = rng.choice([0, n - 1]) if k % 2 else rng.randrange(n)
+            near[at] = f"{near[at]}x"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(near))]
+        similarity = len(a & b) / len(a | b)
+        want |= {2 * k} | ({2 * k + 1} if similarity < 0.8 else set())
+    rows += [(9001, "One two three"), (9002, "one TWO\tthree"), (9003, ""), (9004, None), (9004, None)]
+    left = {r.doc_id for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == want | {9001, 9003}
+    assert 300 < len(want) - 1200 < 900
+
+
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    """A chain of near copies, each similar to its neighbours only, longer than a block."""
+    monkeypatch.setattr(S, "SET_BLOCK", 8)
+    rng = random.Random(12)
+    chain = [f"w{k}" for k in rng.sample(range(9000), 600)]
+    rows = [(k, " ".join(chain[8 * k : 8 * k + 100])) for k in range(60)]
+    ids = {r.doc_id for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert ids == {0}
