@@ -37,6 +37,8 @@ DEPTH = 200
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript iframe noembed noframes template textarea title svg math object".split())
+#: Of RAW, those that go to the end of the page if nothing ends them; the others without an end tag are read on from within.
+ENDLESS = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: Opening one of these closes an open one of the others of its kind, up to the element that holds both.
@@ -145,6 +147,7 @@ def parsed(html: str) -> Page:
     text: list[str] = []
     linked = links = 0
     slot = ""
+    unended: set[str] = set()  # tags whose end is nowhere in the rest
 
     def flush() -> None:
         nonlocal linked
@@ -182,8 +185,12 @@ def parsed(html: str) -> Page:
         tag = (m[2] or re.match(r"</?([^\s/>]*)", raw)[1]).lower()
         ending = raw[1] == "/"
         if not ending and tag in RAW:
+            if tag in unended or (tag in ("svg", "math") and raw.endswith("/>")):
+                continue
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else n if tag != "object" else at
+            if not end and tag not in ENDLESS:
+                unended.add(tag)
+            at = end.end() if end else n if tag in ENDLESS else at
             continue
         if tag == "br":
             text.append(" ") if text else None

@@ -78,3 +78,12 @@ def test_wrapper():
     assert H.Wrapper.load(w.dump()).expression() == w.expression()
     assert w.expression().startswith("<ul>(<li>")
     assert "(<b>#text</b>)?" in w.expression()
+
+
+def test_raw_elements_without_an_end():
+    read = lambda html: [b[1] for b in H.parsed(html).blocks]
+    for start in ('<svg class="x" />', "<math/>", "<noscript>", "<svg>", "<math>", "<template>", "<object>"):
+        assert read(f"<div>{start}</div><article><p>one</p>{start}<p>two</p></article>") == ["one", "two"], start
+    assert read("<svg/><p>a</p><svg><text>drawn</text></svg><p>b</p>") == ["a", "b"]
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert read(f"<p>a</p><{tag}><p>b</p>") == ["a"]
