@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -31,7 +32,7 @@ LINK_SHARE = 0.6
 CONTENT_SHARE = 0.5
 #: Plans of all hosts up to this size are broadcast; larger ones are joined by host. And hosts a task holds at once.
 BROADCAST_BYTES, HELD_HOSTS = 16 << 20, 2000
-#: Elements nested deeper belong to the last one within.
+#: Elements nested deeper stand in the stream as the last one within; only those that rules go by are in paths.
 DEPTH = 200
 
 # Fixed values of HTML.
@@ -140,9 +141,21 @@ def _label(tag: str, attributes: str) -> str:
     return ".".join((tag, *names))
 
 
+def _deeper(path: str, label: str) -> str:
+    """The path of an element beyond DEPTH: with its label only if that changes what the rules make of the path."""
+    if not _dropped(label) and _content(label) is None:
+        return path
+    inside = label.partition(".")[0] in CONTENT and not any(x.partition(".")[0] in CONTENT for x in path.split("/"))
+    longer = f"{path}/{label}"
+    if _dropped(path) or (not inside and not _dropped(longer) and (_content(path) is None) == (_content(longer) is None)):
+        return path
+    return longer
+
+
 def parsed(html: str) -> Page:
     """Read a page; wrong markup is read as browsers do in the common cases."""
     tags, labels, paths, kids = [""], [""], [""], [[]]  # open elements, the page first
+    opened: Counter[str] = Counter()
     blocks: list[tuple[str, str, int]] = []
     text: list[str] = []
     linked = links = 0
@@ -160,10 +173,13 @@ def parsed(html: str) -> Page:
     def close(depth: int) -> None:
         nonlocal links
         while len(tags) > depth:
-            label, inner = labels.pop(), kids.pop()
-            links -= tags.pop() == "a"
+            tag, label = tags.pop(), labels.pop()
+            opened[tag] -= 1
+            links -= tag == "a"
             paths.pop()
-            kids[-1].append((label, folded(inner), False, False))
+            if len(tags) < DEPTH:
+                inner = kids.pop()
+                kids[-1].append((label, folded(inner), False, False))
 
     at, n = 0, len(html)
     while at < n:
@@ -198,26 +214,31 @@ def parsed(html: str) -> Page:
         if tag not in INLINE:
             flush()
         if ending:
-            if tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+            if opened[tag]:
+                close(next(k for k in range(len(tags) - 1, 0, -1) if tags[k] == tag))
             continue
-        if tag in CLOSES_P and "p" in tags:
-            close(tags.index("p"))
+        while tag in CLOSES_P and opened["p"]:
+            close(next(k for k in range(len(tags) - 1, 0, -1) if tags[k] == "p"))
         if tag in SIBLINGS:
             others, holders = SIBLINGS[tag]
             for depth in range(len(tags) - 1, 0, -1):
-                if tags[depth] in holders:
+                if tags[depth] in holders or not any(opened[x] for x in others):
                     break
                 if tags[depth] in others:
                     close(depth)
         if tag in VOID:
             continue
-        if len(tags) < DEPTH and not raw.endswith("/>"):
+        if not raw.endswith("/>"):
             label = _label(tag, m[3] or "")
+            if len(tags) < DEPTH:
+                kids.append([])
+                path = paths[-1] if tag in INLINE else f"{paths[-1]}/{label}"
+            else:
+                path = paths[-1] if tag in INLINE else _deeper(paths[-1], label)
             tags.append(tag)
+            opened[tag] += 1
             labels.append(label)
-            paths.append(paths[-1] if tag in INLINE else f"{paths[-1]}/{label}")
-            kids.append([])
+            paths.append(path)
             links += tag == "a"
     flush()
     close(1)

@@ -87,3 +87,16 @@ def test_raw_elements_without_an_end():
     assert read("<svg/><p>a</p><svg><text>drawn</text></svg><p>b</p>") == ["a", "b"]
     for tag in ("script", "style", "textarea", "title", "iframe"):
         assert read(f"<p>a</p><{tag}><p>b</p>") == ["a"]
+
+
+def test_deep_elements_end_where_they_end(spark):
+    for start, end in (("<div>" * 250, "</div>" * 250), ("<b><div>" * 300, "</div></b>" * 300), ("<font>" * 500, "")):
+        html = f"<html><body><div><article><p>one</p>{start}<p>two</p><nav>menu</nav><div class=ad>buy</div><p>three</p>{end}<p>four</p></article><p>outside</p></div></body></html>"
+        page = H.parsed(html)
+        w = H.Wrapper()
+        w.add(page)
+        assert H.text_of(page, w.plan()) == "one\n\ntwo\n\nthree\n\nfour", start[:20]
+    page = H.parsed("<body>" + "<div>" * 250 + "<article><header>head</header><p>one</p></article><header>site</header>" + "</div>" * 250 + "<p>two</p>")
+    assert [H._dropped(slot) for slot, _, _ in page.blocks] == [False, False, True, False]
+    assert [H._content(slot) is None for slot, _, _ in page.blocks] == [False, False, True, True]
+    assert H.parsed("<font>" * 100_000 + "<p>x" * 2000).blocks[-1][1] == "x"
