@@ -183,9 +183,16 @@ def _matched(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
-    """Documents with windows of fewer than least_items items, with the columns they came with."""
-    found = _matched(docs, benchmark, "doc_id", "text", "item_id", "text", WINDOW, tuple(docs.columns))
-    return found.where(F.size("__items") < least_items).select(*docs.columns)
+    """Documents with windows of fewer than least_items items, with the columns they came with.
+
+    Items of fewer words than WINDOW count only in documents with at least LEAST_ITEMS items, as for op1.
+    """
+    n_words = F.size(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
+    marked = F.concat(F.when(n_words < WINDOW, "short ").otherwise("whole "), F.col("item_id").cast("string"))
+    found = _matched(docs, benchmark.select(marked.alias("item_id"), "text"), "doc_id", "text", "item_id", "text", WINDOW, tuple(docs.columns))
+    whole = F.size(F.filter("__items", lambda x: x.startswith("whole ")))
+    every = F.size(F.array_distinct(F.transform("__items", lambda x: F.substring(x, 7, 1 << 30))))
+    return found.where((whole < least_items) & (every < max(least_items, LEAST_ITEMS))).select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,11 @@ def test_only_the_rarest_shingle_is_looked_up():
     assert set(index.by) == {tuple(b"c d e".split())}
     assert index.find(b"c d e f g h".split()) == (set(), set())
     assert index.find(b"x a b c d e f g h".split()) == ({(1, 9)}, {"1"})
+
+
+def test_one_short_item_drops_no_document(spark):
+    docs = spark.createDataFrame([(1, "this is the text"), (2, "the other é one"), (3, "x a b c d e f g h y"), (4, "nothing"), (5, "an é")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "The"), (2, "other, é"), (3, "A b c d e f g h"), (4, None), (1, "a b c d e f g h i")], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.uncontaminated(docs, bench).collect()) == [1, 4, 5]
+    twice = spark.createDataFrame([(1, "The"), (1, "text")], "item_id long, text string")
+    assert D.uncontaminated(docs, twice).count() == 5
