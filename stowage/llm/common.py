@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A list of hot buckets of up to so many rows, 16 bytes each, is broadcast; a longer one is joined.
 BROADCAST_ROWS = 200_000
+#: A key with more than one in so many of all rows is dealt to several tasks.
+HOT = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -100,6 +102,20 @@ def in_blocks(df: DataFrame, bucket: str, key: str, rows: int) -> DataFrame:
     return spread.withColumns({"block_i": F.least("__own", "__other"), "block_j": F.greatest("__own", "__other")}).withColumnRenamed("__own", "block").drop("__n", "__blocks", "__other")
 
 
+def dealt_join(df: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """df with the other columns of small, which has one row for each value of keys (no nulls) and in `rows` how many df has.
+
+    Rows of a key with over a HOT-th of all are dealt by a random number and its row of small is repeated, so no
+    key is one task's. There are fewer than HOT such keys, so their list is broadcast.
+    """
+    total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot = written(small.where(F.col(rows) * HOT > total).select(*keys, F.ceil(F.col(rows) * HOT / F.lit(max(1, total))).cast("int").alias("__n")))
+    own = df.join(F.broadcast(hot), keys, "left").withColumn("__turn", F.coalesce(F.floor(F.rand(7) * F.col("__n")).cast("int"), F.lit(0))).drop("__n")
+    turns = F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))
+    other = small.drop(rows).join(F.broadcast(hot), keys, "left").withColumn("__turn", turns).drop("__n")
+    return own.join(other, [*keys, "__turn"], "left").drop("__turn")
+
+
 def whole_runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], most: int = 65536) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From sorted batches: tables of whole runs of equal (never null, integer) keys, and where each run starts.
 

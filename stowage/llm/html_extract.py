@@ -1,11 +1,18 @@
 """Main text of web pages by union-free wrappers.
 
-For each host the token streams of its pages are aligned one after another into a wrapper, a regular expression
-without unions: where streams differ in a text, there is a text slot; where one repeats what it just had, a
-repeated group; where one has what the other lacks, an optional group. Tasks make wrappers of the pages they
-read, and wrappers of one host are aligned in the same way as pages are. Over all pages of the host the slots
-gather how often they occur, how much of their text is links, and whether it is always the same. From this and
-from the elements around it each slot is kept or dropped, and a page's text is what stands in its kept slots.
+The token stream of a page is a tree: elements, and between them blocks of text. For each host the streams of its
+pages are aligned one after another into a wrapper, a regular expression without unions. Where streams differ in a
+text, there is a text slot; a text that stays the same is a constant, which also tells alike siblings apart. Where
+one has what the other lacks, an optional part; where alike siblings differ in number, a repeated part; where runs
+of paragraphs, headings and lists differ in their order, a repeated group of optional parts. A single page proves
+no repetition, so cells that stand once in the same order on all pages stay apart. Tasks make wrappers of the
+pages they read, and wrappers of one host are aligned in the same way as pages are.
+
+Each text slot gathers how many pages have it, how much text, how much of it in links, and how often its most
+frequent text occurs. From that the plan decides which slots are the article's: elements that say that they are
+content, or else the part of the wrapper that most of the text is in, without what is a menu by its links, of the
+template by its sameness, or something else by its element. A page is then aligned with its host's wrapper, and its
+text is what stands in kept slots.
 """
 
 from __future__ import annotations
@@ -14,25 +21,33 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bytes_of, dealt_join, written
 
-#: A slot's text that is the same on all of at least so many pages is part of the template.
-TEMPLATE_PAGES = 8
-#: A slot outside the article with a larger share of its text in links is a menu.
+#: A slot's text is of the template if on so many pages, and this part of the slot's, it is the same, but for copies of pages.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
+#: A block or slot with a larger share of its text in links is a menu.
 LINK_SHARE = 0.6
-#: The article is looked for in content elements only if at least this part of the host's pages has one.
-CONTENT_SHARE = 0.5
-#: Plans of all hosts up to this size are broadcast; larger ones are joined by host. And hosts a task holds at once.
+#: The article is looked for in content elements only if at least this part of the host's pages, and this part of its text, has one.
+CONTENT_SHARE, CONTENT_TEXT = 0.5, 0.3
+#: The part with so much of the text within the part around it has the article; one named as something else that has so much is it all the same.
+MAIN_TEXT, NAMED_TEXT = 0.6, 0.5
+#: Siblings are alike if their children's labels share so much.
+ALIKE = 0.5
+#: Most frequent texts that are counted for a slot; a text of more than one in FREQUENT + 1 of all is among them.
+FREQUENT = 8
+#: Wrappers of all hosts up to this size are broadcast; larger ones are joined by host. And hosts a task holds at once.
 BROADCAST_BYTES, HELD_HOSTS = 16 << 20, 2000
-#: Elements nested deeper stand in the stream as the last one within; only those that rules go by are in paths.
+#: Wrappers of a host are aligned in so many tasks first.
+SALTS = 16
+#: Elements nested deeper have no part of their own, but for those whose name the plan goes by.
 DEPTH = 200
 
 # Fixed values of HTML.
@@ -45,141 +60,348 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: Opening one of these closes an open one of the others of its kind, up to the element that holds both.
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "thead": ("thead tbody tfoot tr td th", "table"), "tbody": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tfoot tr td th", "table")}
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
-
-# What the rules about elements and their class, id and role names go by.
-DROPPED = frozenset("head nav footer aside form button select menu dialog input fieldset legend datalist".split())
+#: Elements that running text is made of, in any order.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table address details hgroup dt dd".split())
+HEADINGS = frozenset("h1 h2 hgroup".split())
+#: Elements that an article may be within.
+HOLDERS = frozenset("html body div section article main center form table tbody tr td th fieldset span".split())
+
+# What elements and their class, id and role names say.
+DROPPED = frozenset("head nav footer aside button select menu dialog input legend datalist".split())
 CONTENT = frozenset("article main".split())
 CONTENT_WORDS = frozenset("article main content post story entry body".split())
+#: Names that say so wherever they stand in a name, and those that do only as its last word ("cookie-notice", not "notice-board").
 DROPPED_WORDS = frozenset(
-    "nav navbar navigation menu menubar footer sidebar aside complementary contentinfo ad ads advert adverts advertisement advertising banner promo promoted sponsor sponsored cookie cookies consent gdpr notice notices alert comment comments commentlist disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs subscribe subscription newsletter signup login popup modal overlay widget toolbar copyright disclaimer search pagination pager skip tags".split()
+    "nav navbar navigation menu menubar footer sidebar aside complementary contentinfo ad ads advert adverts advertisement advertising promo promoted sponsor sponsored cookie cookies consent gdpr comment comments commentlist disqus replies sharing social related recommended breadcrumb breadcrumbs subscribe subscription newsletter signup login popup modal widget toolbar copyright disclaimer pagination pager".split()
 )
+DROPPED_LAST = frozenset("banner notice notices alert reply respond share overlay search tags skip".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>|[^<]+|<""", re.DOTALL)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-
-#: A part of a wrapper: (label, parts, repeated, optional); texts have the label "#", groups of several parts "()".
-Item = tuple
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+NUMBER = re.compile(r"(?<=-)[0-9]+|(?<= )[0-9]+")
 
 
-def _optional(x: Item) -> Item:
-    return (x[0], x[1], x[2], True)
+class Part:
+    """A part of a page or wrapper: an element, a text ("#", "#a" for one mostly in links) or a group ("()").
 
+    const is a hash of all its text if that is always the same; pages is how many have it. Of a text, blocks,
+    characters, characters in links and the most frequent texts; on a page, at are the numbers of its blocks.
+    """
 
-def _merged(a: Item, b: Item, repeated: bool = False) -> Item:
-    """One part for two of the same label."""
-    inner = a[1] if a[1] == b[1] else aligned(a[1], b[1])
-    return (a[0], inner, a[2] or b[2] or repeated, a[3] or b[3])
+    __slots__ = ("label", "inner", "repeated", "optional", "pages", "const", "blocks", "chars", "linked", "texts", "at")
 
+    def __init__(self, label: str, inner: list[Part], const: int | None = None, pages: int = 1):
+        self.label, self.inner, self.const, self.pages = label, inner, const, pages
+        self.repeated = self.optional = False
+        self.blocks = self.chars = self.linked = 0
+        self.texts: dict[int, int] = {}
+        self.at: list[int] = []
 
-def _group(parts: Iterable[Item]) -> Item:
-    parts = tuple(parts)
-    return ("(" + " ".join(x[0] for x in parts) + ")", parts, True, False)
+    @property
+    def tag(self) -> str:
+        return self.label.partition(" ")[0]
 
+    def dump(self, whole: bool = True) -> list:
+        flags = self.repeated + 2 * self.optional
+        if self.label[0] == "#":
+            return [self.label, flags, self.pages, self.const, *([self.blocks, self.chars, self.linked, list(self.texts.items())] if whole else ())]
+        return [self.label, flags, self.pages, self.const, [x.dump(whole) for x in self.inner]]
 
-def folded(items: Iterable[Item]) -> tuple[Item, ...]:
-    """A stream with what follows itself made a repeated part, first single parts, then groups of two and three."""
-    out: list[Item] = []
-    for x in items:
-        if out and out[-1][0] == x[0]:
-            out[-1] = _merged(out[-1], x, True)
+    @staticmethod
+    def load(made: list) -> Part:
+        text = made[0][0] == "#"
+        part = Part(made[0], [] if text else [Part.load(x) for x in made[4]], made[3], made[2])
+        part.repeated, part.optional = bool(made[1] & 1), bool(made[1] & 2)
+        if text and len(made) > 4:
+            part.blocks, part.chars, part.linked = made[4:7]
+            part.texts = dict(map(tuple, made[7]))
+        return part
+
+
+def counted(into: dict[int, int], more: dict[int, int]) -> None:
+    """Add counts of texts, keeping the most frequent ones: what is left out is taken off all, so none is overrated."""
+    for key, n in more.items():
+        into[key] = into.get(key, 0) + n
+    if len(into) > FREQUENT:
+        off = sorted(into.values(), reverse=True)[FREQUENT]
+        for key in [k for k, n in into.items() if n <= off]:
+            del into[key]
+        for key in into:
+            into[key] -= off
+
+
+def _joined(a: Part, b: Part, same: bool = False, again: bool = False) -> Part:
+    """b put into a, which stands for both from then on; same if they are of the same pages, again if they are siblings there."""
+    a.pages = max(a.pages, b.pages) if same else a.pages + b.pages
+    a.repeated, a.optional = a.repeated or b.repeated or again, a.optional or b.optional
+    a.const = a.const if a.const == b.const else None
+    if a.label != b.label:
+        tag, *names = a.label.split(" ")
+        every = {*b.label.split(" "), *unnumbered(b.label).split(" ")}
+        a.label = " ".join((tag, *sorted({x for name in names for x in (name, unnumbered(name)) if x in every})))
+    if a.label[0] == "#":
+        a.blocks, a.chars, a.linked = a.blocks + b.blocks, a.chars + b.chars, a.linked + b.linked
+        counted(a.texts, b.texts)
+    elif a.label == "()":
+        for x in b.inner:
+            _put(a, x, same, again)
+    else:
+        a.inner = aligned(a.inner, b.inner, same)
+    return a
+
+
+def _put(group: Part, part: Part, same: bool, again: bool) -> None:
+    """A part, or a group's parts, into a group of optional parts, one for each label."""
+    if part.label == "()":
+        for x in part.inner:
+            _put(group, x, same, again)
+        return
+    for x in group.inner:
+        if x.label == part.label:
+            _joined(x, part, same, again)
+            return
+    part.optional = True
+    group.inner.append(part)
+
+
+def _ahead(a: Part, b: Part) -> bool:
+    return a.const is not None and a.const == b.const and not a.repeated and not b.repeated
+
+
+def _kinds(parts: list[Part]) -> list[int]:
+    """Numbers of parts, equal for alike ones."""
+    known: list[frozenset] = []
+    made = []
+    for part in parts:
+        own = frozenset(x.label for x in part.inner)
+        for k, other in enumerate(known):
+            if own == other or len(own & other) >= ALIKE * len(own | other):
+                made.append(k)
+                break
         else:
-            out.append(x)
-    for size in (2, 3):
-        at = 0
-        while at + 2 * size <= len(out):
-            first, second = out[at : at + size], out[at + size : at + 2 * size]
-            if [x[0] for x in first] != [x[0] for x in second]:
-                at += 1
+            made.append(len(known))
+            known.append(own)
+    return made
+
+
+Pairs = list[tuple[list[Part], list[Part]]]
+
+
+def _opcodes(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
+    return [("equal", 0, len(a), 0, len(b))] if a == b else SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def _siblings(a: list[Part], b: list[Part]) -> Pairs:
+    """Runs of elements of one label: those equal in text at either end, then one by one, or by kind, or all as one repeated part."""
+    head, tail = 0, 0
+    while head < min(len(a), len(b)) and _ahead(a[head], b[head]):
+        head += 1
+    while tail < min(len(a), len(b)) - head and _ahead(a[-1 - tail], b[-1 - tail]):
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    made: Pairs = [([p], [q]) for p, q in zip(a[:head], b[:head], strict=True)]
+    if not x or not y:
+        made += [([p], []) for p in x] + [([], [q]) for q in y]
+    elif len(x) == len(y) and not any(p.repeated for p in (*x, *y)):
+        made += [([p], [q]) for p, q in zip(x, y, strict=True)]
+    else:
+        kinds = _kinds([*x, *y])
+        # among siblings whose text varies, one that has been the same on several pages is no repetition of them
+        own, varies = kinds[: len(x)], any(p.const is None for p in x)
+        there = {q.const for q in y}
+        own = [-1 - k if varies and p.const is not None and p.pages >= TEMPLATE_PAGES and not p.repeated and p.const not in there else kind for k, (p, kind) in enumerate(zip(x, own, strict=True))]
+        runs_x, runs_y = _cut(x, own), _cut(y, kinds[len(x) :])
+        for kind, i, j, p, q in _opcodes([k for k, _ in runs_x], [k for k, _ in runs_y]):
+            if kind != "equal":
+                made += [([part], []) for _, run in runs_x[i:j] for part in run] + [([], [part]) for _, run in runs_y[p:q] for part in run]
                 continue
-            parts = [_merged(a, b) for a, b in zip(first, second, strict=True)]
-            out[at : at + 2 * size] = parts
-            if [x[0] for x in out[at + size : at + 2 * size]] != [x[0] for x in parts]:
-                out[at : at + size] = [_group(parts)]
-    return tuple(out)
-
-
-def _grouped(items: tuple[Item, ...], groups: list[Item]) -> tuple[Item, ...]:
-    """items with each run of parts that one of the groups has made a group of its own."""
-    for group in groups:
-        labels = [x[0] for x in group[1]]
-        out = list(items)
-        at = 0
-        while at + len(labels) <= len(out):
-            if [x[0] for x in out[at : at + len(labels)]] == labels:
-                out[at : at + len(labels)] = [_group(out[at : at + len(labels)])]
-            at += 1
-        items = tuple(out)
-    return items
-
-
-def aligned(a: tuple[Item, ...], b: tuple[Item, ...]) -> tuple[Item, ...]:
-    """One stream for two: common parts merged, parts of one only made optional."""
-    if not a or not b:
-        return tuple(map(_optional, a or b))
-    a, b = _grouped(a, [x for x in b if x[0][:1] == "("]), _grouped(b, [x for x in a if x[0][:1] == "("])
-    out: list[Item] = []
-    for kind, i, j, p, q in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [_merged(x, y) for x, y in zip(a[i:j], b[p:q], strict=True)]
+            for (_, c), (_, d) in zip(runs_x[i:j], runs_y[p:q], strict=True):
+                even = len(c) == len(d) and not any(part.repeated for part in (*c, *d))
+                made += [([s], [t]) for s, t in zip(c, d, strict=True)] if even else [(c, d)]
+    return made + [([p], [q]) for p, q in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
+
+
+def _cut(parts: list[Part], keys: list) -> list[tuple[object, list[Part]]]:
+    """Runs of parts of equal keys."""
+    made: list[tuple[object, list[Part]]] = []
+    for part, key in zip(parts, keys, strict=True):
+        if made and made[-1][0] == key:
+            made[-1][1].append(part)
         else:
-            out += [_optional(x) for x in (*a[i:j], *b[p:q])]
-    return folded(out)
+            made.append((key, [part]))
+    return made
+
+
+def _flow(a: list[Part], b: list[Part]) -> Pairs:
+    """Running text: runs of labels that agree at either end, and what is between as one group if labels come back in it."""
+    x, y = (_cut(parts, [p.label for p in parts]) for parts in (a, b))
+    head, tail = 0, 0
+    while head < min(len(x), len(y)) and x[head][0] == y[head][0] != "()":
+        head += 1
+    while tail < min(len(x), len(y)) - head and x[-1 - tail][0] == y[-1 - tail][0] != "()":
+        tail += 1
+    if head == len(x) == len(y):
+        return [pair for (_, c), (_, d) in zip(x, y, strict=True) for pair in _siblings(c, d)]
+    inside = {label for label, _ in (*x[head : len(x) - tail], *y[head : len(y) - tail])}
+    inside |= {p.label for _, run in (*x, *y) for g in run if g.label == "()" for p in g.inner}
+    while head and x[head - 1][0] in inside:
+        head -= 1
+    while tail and x[-tail][0] in inside:
+        tail -= 1
+    core_x, core_y = x[head : len(x) - tail], y[head : len(y) - tail]
+    made = [pair for (_, c), (_, d) in zip(x[:head], y[:head], strict=True) for pair in _siblings(c, d)]
+    labels_x, labels_y = [k for k, _ in core_x], [k for k, _ in core_y]
+    if "()" in inside or len(set(labels_x)) < len(labels_x) or len(set(labels_y)) < len(labels_y):
+        made.append(([p for _, run in core_x for p in run], [p for _, run in core_y for p in run]))
+    else:
+        for kind, i, j, p, q in _opcodes(labels_x, labels_y):
+            if kind == "equal":
+                made += [pair for (_, c), (_, d) in zip(core_x[i:j], core_y[p:q], strict=True) for pair in _siblings(c, d)]
+            else:
+                made += [([part], []) for _, run in core_x[i:j] for part in run] + [([], [part]) for _, run in core_y[p:q] for part in run]
+    return made + [pair for (_, c), (_, d) in zip(x[len(x) - tail :], y[len(y) - tail :], strict=True) for pair in _siblings(c, d)]
 
 
-@dataclass
-class Page:
-    """A page's stream, folded, and its blocks: (slot, text, characters in links)."""
+def _is_flow(part: Part) -> bool:
+    return part.label[0] in "#(" or part.tag in FLOW
 
-    stream: tuple[Item, ...]
-    blocks: list[tuple[str, str, int]]
 
+def pairs(a: list[Part], b: list[Part]) -> Pairs:
+    """Two lists of siblings aligned: (parts of a, parts of b) that correspond; one is empty for what only the other has."""
+    x, y = (_cut(parts, ["" if _is_flow(p) else p.label for p in parts]) for parts in (a, b))
+    made: Pairs = []
 
-def _label(tag: str, attributes: str) -> str:
-    names = sorted({w.lower() for m in NAMES.finditer(attributes) for w in WORD.findall(m[2] or m[3] or m[4] or "")}) if "=" in attributes else ()
-    return ".".join((tag, *names))
+    def both(c: list[Part], d: list[Part]) -> None:
+        made.extend(_flow(c, d) if _is_flow(c[0]) else _siblings(c, d))
+
+    def apart(x: list, y: list, keys: list) -> None:
+        """Elements whose names differ: by names without numbers, then by tags of the same shape, else by themselves."""
+        if not x or not y or not keys:
+            made.extend([([p], []) for _, run in x for p in run] + [([], [p]) for _, run in y for p in run])
+            return
+        key, *rest = keys
+        for kind, i, j, p, q in _opcodes([key(run[0]) for _, run in x], [key(run[0]) for _, run in y]):
+            if kind == "equal":
+                for (_, c), (_, d) in zip(x[i:j], y[p:q], strict=True):
+                    both(c, d)
+            else:
+                apart(x[i:j], y[p:q], rest)
+
+    shape = lambda p: (p.tag, frozenset(k.tag for k in p.inner))
+    apart(x, y, [lambda p: "" if _is_flow(p) else p.label, lambda p: unnumbered(p.label), shape])
+    return made
+
+
+def aligned(a: list[Part], b: list[Part], same: bool = False) -> list[Part]:
+    """One list of parts for two, same if they are of the same pages; those of a and b are used up."""
+    made = []
+    for x, y in pairs(a, b):
+        if not x or not y:
+            for part in x or y:
+                part.optional = True
+                made.append(part)
+            continue
+        if len({p.label for p in (*x, *y)}) > 1 and len(x) + len(y) > 2 or "()" in (x[0].label, y[0].label):
+            one, two = Part("()", [], None, 0), Part("()", [], None, 0)
+            for group, parts in ((one, x), (two, y)):
+                for p in parts:
+                    group.pages = max(group.pages, p.pages)
+                    _put(group, p, True, True)
+            one.repeated = True
+        else:
+            one, two = x[0], y[0]
+            for first, others in ((one, x[1:]), (two, y[1:])):
+                for other in others:
+                    _joined(first, other, True, True)
+        made.append(_joined(one, two, same))
+    return made
+
+
+class Page:
+    """A page's parts, and its blocks of text in order."""
+
+    def __init__(self, parts: list[Part], blocks: list[str]):
+        self.parts, self.blocks = parts, blocks
 
 
-def _deeper(path: str, label: str) -> str:
-    """The path of an element beyond DEPTH: with its label only if that changes what the rules make of the path."""
-    if not _dropped(label) and _content(label) is None:
-        return path
-    inside = label.partition(".")[0] in CONTENT and not any(x.partition(".")[0] in CONTENT for x in path.split("/"))
-    longer = f"{path}/{label}"
-    if _dropped(path) or (not inside and not _dropped(longer) and (_content(path) is None) == (_content(longer) is None)):
-        return path
-    return longer
+def _label(tag: str, attributes: str) -> str:
+    """Tag and names of an element, each name's words joined by hyphens."""
+    if "=" not in attributes:
+        return tag
+    names = {"-".join(WORD.findall(name)).lower() for m in NAMES.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").split()}
+    return " ".join((tag, *sorted(names - {""})))
+
+
+def unnumbered(label: str) -> str:
+    return NUMBER.sub("*", label)
+
+
+def _numbered_alike(parts: list[Part]) -> None:
+    """Of three and more siblings in a row whose names differ in numbers only, the numbers are left out."""
+    if len(parts) > 2 and len({p.label for p in parts}) > 2:
+        for _, run in _cut(parts, [unnumbered(p.label) for p in parts]):
+            if len(run) > 2 and len({p.label for p in run}) > 1:
+                for p in run:
+                    p.label = unnumbered(p.label)
+
+
+def says(label: str) -> str:
+    """What an element's tag and names say: "content", "dropped" for certain, "named" as something else, "header" or nothing."""
+    tag, *names = label.split(" ")
+    if tag in DROPPED:
+        return "dropped"
+    words = [name.split("-") for name in names]
+    content = any(CONTENT_WORDS & set(w) for w in words)
+    named = any(DROPPED_WORDS & set(w) or w[-1] in DROPPED_LAST for w in words) and tag not in ("html", "body")
+    if tag in CONTENT:
+        return "named" if named and not content else "content"
+    if tag == "header":
+        return "header"
+    if named or tag in ("form", "fieldset"):
+        return "named"
+    if any(HEADER_WORDS & set(w) for w in words) and tag not in ("html", "body"):
+        return "header"
+    return "content" if content and tag in ("div", "section", "td") else ""
 
 
 def parsed(html: str) -> Page:
     """Read a page; wrong markup is read as browsers do in the common cases."""
-    tags, labels, paths, kids = [""], [""], [""], [[]]  # open elements, the page first
+    root: list[Part] = []
+    tags, kids = [""], [root]  # open elements and the list that their parts go to, the page first
+    labels: list[str | None] = [None]  # of those with a part of their own
     opened: Counter[str] = Counter()
-    blocks: list[tuple[str, str, int]] = []
+    blocks: list[str] = []
     text: list[str] = []
-    linked = links = 0
-    slot = ""
+    linked = links = deep = 0
+    into = root
     unended: set[str] = set()  # tags whose end is nowhere in the rest
 
     def flush() -> None:
         nonlocal linked
         if text:
             if shown := " ".join("".join(text).split()):
-                blocks.append((slot, shown, min(linked, len(shown))))
+                own = min(linked, len(shown))
+                hashed = xxhash.xxh3_64_intdigest(shown)
+                part = Part("#a" if own > LINK_SHARE * len(shown) else "#", [], hashed)
+                part.blocks, part.chars, part.linked, part.texts, part.at = 1, len(shown), own, {hashed: 1}, [len(blocks)]
+                into.append(part)
+                blocks.append(shown)
             text.clear()
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, deep
         while len(tags) > depth:
-            tag, label = tags.pop(), labels.pop()
+            tag, own, label = tags.pop(), kids.pop(), labels.pop()
             opened[tag] -= 1
             links -= tag == "a"
-            paths.pop()
-            if len(tags) < DEPTH:
-                inner = kids.pop()
-                kids[-1].append((label, folded(inner), False, False))
+            if label is not None:
+                deep -= len(tags) >= DEPTH
+                if own:
+                    _numbered_alike(own)
+                    kids[-1].append(Part(label, own, own[0].const if len(own) == 1 else xxhash.xxh3_64_intdigest(repr([x.const for x in own]))))
 
     at, n = 0, len(html)
     while at < n:
@@ -189,12 +411,10 @@ def parsed(html: str) -> Page:
         if raw[0] != "<" or raw == "<":
             shown = unescape(raw)
             if not text:
-                slot = paths[-1]
+                into = kids[-1]
             text.append(shown)
             if links:
                 linked += len(" ".join(shown.split()))
-            if not shown.isspace():
-                kids[-1].append(("#", (), False, False))
             continue
         if raw[1] in "!?":
             continue
@@ -226,127 +446,196 @@ def parsed(html: str) -> Page:
                     break
                 if tags[depth] in others:
                     close(depth)
-        if tag in VOID:
+        if tag in VOID or raw.endswith("/>"):
             continue
-        if not raw.endswith("/>"):
-            label = _label(tag, m[3] or "")
-            if len(tags) < DEPTH:
-                kids.append([])
-                path = paths[-1] if tag in INLINE else f"{paths[-1]}/{label}"
-            else:
-                path = paths[-1] if tag in INLINE else _deeper(paths[-1], label)
-            tags.append(tag)
-            opened[tag] += 1
-            labels.append(label)
-            paths.append(path)
-            links += tag == "a"
+        label = None if tag in INLINE else _label(tag, m[3] or "")
+        if label is not None and len(tags) >= DEPTH:
+            # further down only what the plan goes by, and not without end
+            label = label if says(label) and deep < DEPTH // 4 else None
+            deep += label is not None
+        tags.append(tag)
+        opened[tag] += 1
+        kids.append(kids[-1] if label is None else [])
+        labels.append(label)
+        links += tag == "a"
     flush()
     close(1)
-    return Page(folded(kids[0]), blocks)
+    _numbered_alike(root)
+    return Page(root, blocks)
 
 
-@dataclass
 class Wrapper:
-    """A host's expression, and of each slot: pages, blocks, characters, characters in links, its text if always the same."""
+    """A host's expression: its parts, how many pages it is of, and how often their most frequent longest blocks occur."""
 
-    pages: int = 0
-    stream: tuple[Item, ...] = ()
-    slots: dict[str, list] = field(default_factory=dict)
-    seen: set = field(default_factory=set)
+    def __init__(self, pages: int = 0, parts: list[Part] | None = None, longest: dict[int, int] | None = None):
+        self.pages, self.parts, self.longest = pages, parts or [], longest or {}
 
     def add(self, page: Page) -> None:
-        if page.stream not in self.seen:
-            self.stream = aligned(self.stream, page.stream) if self.pages else page.stream
-            if len(self.seen) < 5000:  # only so that streams seen before are not aligned again
-                self.seen.add(page.stream)
-        self.pages += 1
-        on_page: dict[str, list] = {}
-        for slot, text, linked in page.blocks:
-            got = on_page.setdefault(slot, [1, 0, 0, 0, text])
-            got[1] += 1
-            got[2] += len(text)
-            got[3] += linked
-        self._gather(on_page)
-
-    def _gather(self, slots: dict[str, list]) -> None:
-        for slot, new in slots.items():
-            old = self.slots.get(slot)
-            if old is None:
-                self.slots[slot] = list(new)
-            else:
-                old[:] = [*(x + y for x, y in zip(old[:4], new[:4], strict=True)), old[4] if old[4] == new[4] else None]
+        """Align a page with the wrapper; its parts are used up."""
+        longest = {xxhash.xxh3_64_intdigest(max(page.blocks, key=len)): 1} if page.blocks else {}
+        self.join(Wrapper(1, page.parts, longest))
 
     def join(self, other: Wrapper) -> None:
-        self.stream = aligned(self.stream, other.stream) if self.pages and other.pages else self.stream or other.stream
+        self.parts = aligned(self.parts, other.parts) if self.pages else other.parts
         self.pages += other.pages
-        self._gather(other.slots)
+        counted(self.longest, other.longest)
 
     def dump(self) -> str:
-        return json.dumps([self.pages, self.stream, self.slots])
+        return json.dumps([self.pages, list(self.longest.items()), [x.dump() for x in self.parts]])
 
     @staticmethod
     def load(text: str) -> Wrapper:
-        def items(parts: list) -> tuple[Item, ...]:
-            return tuple((a, items(b), c, d) for a, b, c, d in parts)
-
-        pages, stream, slots = json.loads(text)
-        return Wrapper(pages, items(stream), slots)
+        pages, longest, parts = json.loads(text)
+        return Wrapper(pages, [Part.load(x) for x in parts], dict(map(tuple, longest)))
 
     def expression(self) -> str:
         """The wrapper as a regular expression, for people to read."""
 
-        def shown(parts: tuple[Item, ...]) -> str:
+        def shown(parts: list[Part]) -> str:
             out = []
-            for label, inner, repeated, optional in parts:
-                body = "#text" if label == "#" else shown(inner) if label[0] == "(" else f"<{label}>{shown(inner)}</{label.split('.')[0]}>"
-                out.append(f"({body})*" if repeated and optional else f"({body})+" if repeated else f"({body})?" if optional else body)
+            for x in parts:
+                body = "#text" if x.label[0] == "#" else shown(x.inner) if x.label == "()" else f"<{x.label}>{shown(x.inner)}</{x.tag}>"
+                out.append(f"({body})*" if x.repeated and x.optional else f"({body})+" if x.repeated else f"({body})?" if x.optional else body)
             return " ".join(out)
 
-        return shown(self.stream)
-
-    def plan(self) -> dict[str, int]:
-        """Of each slot whether it is kept: 0 never, 1 always, 2 on pages without a slot that always is."""
-        content = {s for s in self.slots if _content(s) is not None and not _dropped(s)}
-        pages = max((self.slots[s][0] for s in content), default=0)
-        by_content = pages >= CONTENT_SHARE * self.pages
-        made = {}
-        for slot, (pages, blocks, chars, linked, same) in self.slots.items():
-            inside = slot in content
-            template = same is not None and pages >= TEMPLATE_PAGES and pages == blocks and pages >= 0.5 * self.pages
-            if _dropped(slot) or (not inside and (template or linked > LINK_SHARE * chars)):
-                made[slot] = 0
-            else:
-                made[slot] = 1 if inside or not by_content else 2
-        return made
+        return shown(self.parts)
 
+    def plan(self) -> str:
+        """The wrapper without its counts, and whether each of its slots, in order, is kept: 0 never, 1 always, 2 on pages without one that always is."""
+        return json.dumps([[x.dump(False) for x in self.parts], _roles(self)])
 
-def _content(slot: str) -> int | None:
-    """Where on a slot's path its content element is."""
-    for k, label in enumerate(slot.split("/")):
-        tag, *names = label.split(".")
-        if tag in CONTENT or (tag in ("div", "section", "td") and CONTENT_WORDS & set(names) and not DROPPED_WORDS & set(names)):
-            return k
-    return None
 
-
-def _dropped(slot: str) -> bool:
-    """Whether an element around a slot is none of the article's; a header within the article is."""
-    inside = False
-    for label in slot.split("/"):
-        tag, *names = label.split(".")
-        words = set(names)
-        if tag in DROPPED or (DROPPED_WORDS & words and tag not in ("html", "body")):
-            return True
-        if not inside and (tag == "header" or (HEADER_WORDS & words and tag not in ("html", "body"))):
-            return True
-        inside = inside or tag in CONTENT
-    return False
-
-
-def text_of(page: Page, plan: dict[str, int]) -> str:
-    roles = [plan.get(slot, 0 if _dropped(slot) else 1) for slot, _, _ in page.blocks]
-    kept = 1 if 1 in roles else 2
-    return "\n\n".join(block[1] for block, role in zip(page.blocks, roles, strict=True) if role == kept)
+def _slots(parts: list[Part]) -> Iterator[Part]:
+    for x in parts:
+        if x.label[0] == "#":
+            yield x
+        else:
+            yield from _slots(x.inner)
+
+
+def _mass(part: Part, gone: set[int]) -> int:
+    """Characters of a part that are not in links, without parts that are dropped."""
+    if id(part) in gone:
+        return 0
+    return max(0, part.chars - part.linked) if part.label[0] == "#" else sum(_mass(x, gone) for x in part.inner)
+
+
+def _roles(wrapper: Wrapper) -> list[int]:
+    copies = max(wrapper.longest.values(), default=0)
+    gone: set[int] = set()  # dropped parts
+    content: list[Part] = []  # content elements that are in none
+    named: list[Part] = []
+
+    def read(parts: list[Part], inside: bool) -> None:
+        for x in parts:
+            if x.label[0] == "#":
+                top = max(x.texts.values(), default=0)
+                # in a repeated slot a frequent text says nothing about the others
+                same = top >= TEMPLATE_PAGES and top >= TEMPLATE_SHARE * x.blocks and top > 2 * copies and x.blocks <= x.pages >= TEMPLATE_SHARE * wrapper.pages
+                if x.linked > LINK_SHARE * x.chars or same:
+                    gone.add(id(x))
+                continue
+            what = says(x.label) if x.label != "()" else ""
+            if what == "dropped" or (what == "header" and not inside):
+                gone.add(id(x))
+                continue
+            if what == "named":
+                named.append(x)
+            if what == "content" and not inside:
+                content.append(x)
+            read(x.inner, inside or (what == "content" and x.tag in CONTENT))
+
+    read(wrapper.parts, False)
+    # an element named as something else is dropped, unless the text is in it and not in content elements elsewhere
+    whole = Part("()", wrapper.parts)
+    total = _mass(whole, gone)
+    held = {id(x): {id(y) for y in _elements(x)} for x in named}
+    for x in named:
+        elsewhere = any(id(c) not in held[id(x)] and not _within(c, named) and _mass(c, gone) for c in content)
+        if elsewhere or _mass(x, gone) < NAMED_TEXT * total:
+            gone.add(id(x))
+    content = [x for x in content if not _under(wrapper.parts, x, gone)]
+    total, own = _mass(whole, gone), sum(_mass(x, gone) for x in content)
+    by_content = bool(content) and max(x.pages for x in content) >= CONTENT_SHARE * wrapper.pages and own >= CONTENT_TEXT * total
+    kept: set[int] = set()
+    for part in content if by_content else _main(wrapper.parts, gone):
+        kept |= {id(x) for x in _slots([part])}
+    left = {id(x) for x in _open(wrapper.parts, gone)}
+    # where the article is not in content elements, only text within the main part is of it
+    return [0 if id(x) not in left else 1 if id(x) in kept else 2 if by_content else 0 for x in _slots(wrapper.parts)]
+
+
+def _elements(part: Part) -> Iterator[Part]:
+    yield part
+    for x in part.inner:
+        yield from _elements(x)
+
+
+def _within(part: Part, others: list[Part]) -> bool:
+    return any(part is not other and any(part is x for x in _elements(other)) for other in others)
+
+
+def _under(parts: list[Part], part: Part, gone: set[int]) -> bool:
+    """Whether a part is dropped or within one that is."""
+    return not any(part is x for x in _open_elements(parts, gone))
+
+
+def _open_elements(parts: list[Part], gone: set[int]) -> Iterator[Part]:
+    for x in parts:
+        if id(x) not in gone:
+            yield x
+            yield from _open_elements(x.inner, gone)
+
+
+def _open(parts: list[Part], gone: set[int]) -> Iterator[Part]:
+    return (x for x in _open_elements(parts, gone) if x.label[0] == "#")
+
+
+def _main(parts: list[Part], gone: set[int]) -> list[Part]:
+    """The parts that have the article: down to where no single element has most of the text, and headings before it on the way."""
+    headings: list[Part] = []
+    while True:
+        total = sum(_mass(x, gone) for x in parts)
+        main = next((k for k, x in enumerate(parts) if x.tag in HOLDERS and not x.repeated and _mass(x, gone) >= MAIN_TEXT * total > 0), None)
+        if main is None:
+            return headings + parts
+        headings += [x for x in parts[:main] if x.tag in HEADINGS]
+        parts = parts[main].inner
+
+
+class Plan:
+    """A host's wrapper and the roles of its slots, to align pages with."""
+
+    def __init__(self, text: str):
+        parts, roles = json.loads(text)
+        self.parts = [Part.load(x) for x in parts]
+        self.roles = {id(x): role for x, role in zip(_slots(self.parts), roles, strict=True)}
+
+    def text_of(self, page: Page) -> str:
+        roles = [0] * len(page.blocks)
+        self._assign(self.parts, page.parts, roles)
+        kept = 1 if 1 in roles else 2
+        return "\n\n".join(block for block, role in zip(page.blocks, roles, strict=True) if role == kept)
+
+    def _assign(self, a: list[Part], b: list[Part], roles: list[int]) -> None:
+        for x, y in pairs(a, b):
+            if x and y:
+                self._paired(x, y, roles)
+
+    def _paired(self, x: list[Part], y: list[Part], roles: list[int]) -> None:
+        known: dict[str, Part] = {}
+        for part in x:
+            for p in part.inner if part.label == "()" else (part,):
+                known.setdefault(p.label, p)
+        for k, part in enumerate(y):
+            own = x[k] if len(x) == len(y) and x[k].label != "()" else known.get(part.label) or (x[0] if len(x) == 1 and x[0].label != "()" else None)
+            if own is None:
+                continue
+            if part.label[0] == "#":
+                for block in part.at:
+                    roles[block] = self.roles.get(id(own), 0)
+            else:
+                self._assign(own.inner, part.inner, roles)
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -355,36 +644,35 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     A URL without a host, a null one too, is of the host "". Null pages are empty ones.
     """
 
+    def batch(made: dict[str, Wrapper]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array([w.dump() for w in made.values()], pa.string())], ["host", "wrapper"])
+
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([w.dump() for w in held.values()], pa.string())], ["host", "wrapper"])
-            held.clear()
-            return batch
-
-        for batch in batches:
-            for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        for part in batches:
+            for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 held.setdefault(host, Wrapper()).add(parsed(text or ""))
                 if len(held) > HELD_HOSTS:
-                    yield out()
-        yield out()
+                    yield batch(held)
+                    held.clear()
+        yield batch(held)
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, joined = None, Wrapper()
-        for batch in batches:
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if host != now:
-                    if now is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([joined.dump()])], ["host", "wrapper"])
-                    now, joined = host, Wrapper()
-                joined.join(Wrapper.load(text))
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([joined.dump()])], ["host", "wrapper"])
+        now: dict[str, Wrapper] = {}
+        for part in batches:
+            for host, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if host not in now:
+                    if now:
+                        yield batch(now)
+                    now = {host: Wrapper()}
+                now[host].join(Wrapper.load(text))
+        yield batch(now)
 
     kind = "host string, wrapper string"
     parts = pages.select(_host(url).alias("host"), F.col(html).alias("html")).mapInArrow(read, kind)
-    return parts.repartition("host").sortWithinPartitions("host").mapInArrow(join, kind)
+    # a host of very many pages has a wrapper from each task: some of these are aligned in each of several tasks first
+    some = parts.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).sortWithinPartitions("host", "wrapper").mapInArrow(join, kind)
+    return some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(join, kind)
 
 
 def _host(url: str):
@@ -402,29 +690,31 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
 
     def planned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plans = [json.dumps(Wrapper.load(t).plan()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plans, pa.string())], ["host", "plan"])
+            made = [Wrapper.load(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.plan() for w in made], pa.string()), pa.array([w.pages for w in made], pa.int64())], ["host", "plan", "pages"])
 
-    plans = written(wrappers(source).mapInArrow(planned, "host string, plan string"))
-    size = plans.agg(F.coalesce(F.sum(F.octet_length("plan") + F.octet_length("host")), F.lit(0))).first()[0]
+    plans = written(wrappers(source).mapInArrow(planned, "host string, plan string, pages long"))
+    size = bytes_of(plans, "host", "plan")
     small = size <= BROADCAST_BYTES
-    sent = pages.sparkSession.sparkContext.broadcast({r.host: json.loads(r.plan) for r in plans.collect()} if small else {})
+    sent = pages.sparkSession.sparkContext.broadcast({r.host: r.plan for r in plans.collect()} if small else {})
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(sent.value) if small else {}
+        known: dict[str, Plan] = {}
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 texts = []
                 for k, (host, text) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
-                    if not small and host not in known:
-                        known = {host: json.loads(part.column("plan")[k].as_py() or "{}")}
-                    texts.append(text_of(parsed(text or ""), known.get(host, {})))
+                    if host not in known:
+                        if not small or len(known) > HELD_HOSTS:
+                            known.clear()
+                        known[host] = Plan(sent.value[host] if small else part.column("plan")[k].as_py())
+                    texts.append(known[host].text_of(parsed(text or "")))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
     if not small:
-        source = source.join(plans, "host", "left")
+        source = dealt_join(source, plans, ["host"], "pages")
     return source.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
 
 

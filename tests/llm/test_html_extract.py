@@ -71,17 +71,116 @@ def test_edges(spark):
     assert H.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_wrapper():
+def wrapped(*pages):
     w = H.Wrapper()
-    for html in ("<ul><li>a</ul><p>x</p>", "<ul><li>a<li>b<li><b>c</b></ul><p>x</p>", "<ul><li>a</ul><h2>t</h2><p>x</p><h2>t</h2><p>y</p>"):
+    for html in pages:
         w.add(H.parsed(html))
+    return w
+
+
+def texts(*pages):
+    """The texts of the pages of one host."""
+    plan = H.Plan(wrapped(*pages).plan())
+    return [plan.text_of(H.parsed(html)) for html in pages]
+
+
+def test_wrapper():
+    w = wrapped("<ul><li>a</ul><p>x</p>", "<ul><li>a<li>b<li><b>c</b></ul><p>x</p>", "<ul><li>a</ul><h2>t</h2><p>x</p><h2>t</h2><p>y</p>")
     assert H.Wrapper.load(w.dump()).expression() == w.expression()
-    assert w.expression().startswith("<ul>(<li>")
-    assert "(<b>#text</b>)?" in w.expression()
+    assert w.expression() == "<ul><li>#text</li> (<li>#text</li>)? (<li>#text</li>)?</ul> ((<p>#text</p>)* (<h2>#text</h2>)*)+"
+    w = wrapped("<div class=a>x</div><div class=b>y</div>", "<div class=a>x</div><div class=c><ul><li>z</ul></div><div class=b>w</div>")
+    assert w.expression() == "<div a>#text</div> (<div c><ul><li>#text</li></ul></div>)? <div b>#text</div>"
+    # what stands once in the same order on all pages is no repetition
+    assert wrapped(*(f"<td>menu</td><td>{x}</td><td>promo {x}</td>" for x in "abc")).expression().count("<td>") == 3
+    halves = [wrapped("<p>a", "<p>a<p>b"), wrapped("<p>c<p>d<p>e", "<h2>f</h2><p>g<h2>h</h2><p>i")]
+    halves[0].join(H.Wrapper.load(halves[1].dump()))
+    assert halves[0].pages == 4 and halves[0].expression() == "((<p>#text</p>)* (<h2>#text</h2>)*)+"
+
+
+def test_counts_of_frequent_texts():
+    rng = random.Random(1)
+    into = {}
+    for _ in range(2000):
+        H.counted(into, {1 if rng.random() < 0.4 else rng.randrange(2, 10**6): 1})
+    assert len(into) <= H.FREQUENT and max(into, key=into.get) == 1 and 500 < into[1] < 900
+
+
+def story(rng, k):
+    return "".join(f"<{tag}>{say(rng, rng.randrange(12, 40))}</{tag}>" for tag in rng.choices(["p", "p", "h2", "blockquote"], k=k))
+
+
+def plain(html):
+    return "\n\n".join(x for x in re.split("<[^>]*>", html) if x)
+
+
+def test_pages_without_names():
+    """Menu, article and notice in elements that do not say what they are."""
+    rng = random.Random(5)
+    for shape in (
+        "<body><div>Home, About</div><div>{0}</div><div>(c) 2020 all rights</div></body>",
+        "<body><table><tr><td>menu alpha</td><td>{0}</td><td>promo {1}</td></tr></table></body>",
+        '<body><div class="col1">Side {1}</div><div class="col2">{0}</div></body>',
+        '<body><div class="x{2}"><div class="y{2}">{0}</div><div>Weather {1}</div></div><div class="z">imprint</div></body>',
+        '<body><form action="/all"><div><a href="/">Home</a></div><div>{0}</div><div>(c) 2020</div></form></body>',
+        '<body><div>top</div><article class="story share">{0}</article></body>',
+        '<body><article>{0}<p><a href="/x">Read also: {1}</a></p></article><div class="cookie-notice">{1}</div></body>',
+    ):
+        stories = [story(rng, rng.randrange(1, 9)) for _ in range(12)]
+        pages = [shape.format(x, say(rng, 3), k) for k, x in enumerate(stories)]
+        assert texts(*pages) == [plain(x) for x in stories], shape
+    inner = '<p>{0}</p><section class="notice-board"><p>{1}</p></section>'
+    pages = [inner.format(say(rng, 30), say(rng, 10)) for _ in range(6)]
+    assert texts(*(f"<article>{x}</article>" for x in pages)) == [plain(x) for x in pages]
+
+
+def test_template_text_and_copies():
+    rng = random.Random(6)
+    stories = [f"<p>{say(rng, 30)}</p>" for _ in range(9)]
+    # a year that differs on one page, and few pages, do not make template text the article's
+    pages = [f"<div>{x}</div><p>All rights reserved {2020 if k else 2019}</p>" for k, x in enumerate(stories)]
+    assert texts(*pages) == [plain(x) for x in stories] and texts(*pages[1:4]) == [plain(x) for x in stories[1:4]]
+    # a host that is mostly copies of one page keeps them
+    pages = [f"<article><h1>title {min(k, 2)}</h1>{stories[min(k, 2)]}</article>" for k in range(9)]
+    assert texts(*pages) == [f"title {min(k, 2)}\n\n{plain(stories[min(k, 2)])}" for k in range(9)]
+    # a line that is repeated among others is no template
+    pages = [f"<article><h1>{say(rng, 3)}</h1>" + "".join(f"<p>{say(rng, 5)}</p><p>again</p><p>again</p>" for _ in range(2 + k % 2)) + f"<p>{say(rng, 4)}</p></article>" for k in range(6)]
+    assert texts(*pages) == [plain(x) for x in pages]
+
+
+def test_text_comes_through_the_wrapper(monkeypatch):
+    """Without alignment, or without the roles that it leads to, another text comes out."""
+    rng = random.Random(7)
+    pages = [f"<div>Home, About</div><div>{story(rng, 3 + k % 3)}</div><div>(c) 2020</div>" for k in range(6)]
+    right = texts(*pages)
+    monkeypatch.setattr(H, "aligned", lambda a, b, same=False: [])
+    assert texts(*pages) != right
+    monkeypatch.setattr(H, "aligned", lambda a, b, same=False: a)
+    assert texts(*pages) != right
+
+
+def test_order_of_pages_does_not_matter():
+    rng = random.Random(8)
+    pages = [page(rng, 2)[0] for _ in range(30)]
+    right = dict(zip(pages, texts(*pages), strict=True))
+    for _ in range(5):
+        rng.shuffle(pages)
+        assert dict(zip(pages, texts(*pages), strict=True)) == right
+
+
+def test_wide_and_long_pages():
+    """Thousands of siblings, with and without names of their own, and a wrapper that does not grow with them."""
+    rng = random.Random(9)
+    pages = []
+    for k in range(3):
+        many = "".join(f'<div id="post-{rng.randrange(10**9)}"><p>{say(rng, 3)}</p></div>' for _ in range(3000 + k))
+        pages.append(f"<main>{many}</main>" + "".join(f"<{tag}>x</{tag}>" for tag in rng.choices(["p", "pre", "h2"], k=2000)))
+    w = wrapped(*pages)
+    assert len(w.dump()) < 20_000
+    assert [x.count("\n\n") for x in texts(*pages)] == [2999, 3000, 3001]
 
 
 def test_raw_elements_without_an_end():
-    read = lambda html: [b[1] for b in H.parsed(html).blocks]
+    read = lambda html: H.parsed(html).blocks
     for start in ('<svg class="x" />', "<math/>", "<noscript>", "<svg>", "<math>", "<template>", "<object>"):
         assert read(f"<div>{start}</div><article><p>one</p>{start}<p>two</p></article>") == ["one", "two"], start
     assert read("<svg/><p>a</p><svg><text>drawn</text></svg><p>b</p>") == ["a", "b"]
@@ -89,14 +188,10 @@ def test_raw_elements_without_an_end():
         assert read(f"<p>a</p><{tag}><p>b</p>") == ["a"]
 
 
-def test_deep_elements_end_where_they_end(spark):
+def test_deep_elements_end_where_they_end():
     for start, end in (("<div>" * 250, "</div>" * 250), ("<b><div>" * 300, "</div></b>" * 300), ("<font>" * 500, "")):
         html = f"<html><body><div><article><p>one</p>{start}<p>two</p><nav>menu</nav><div class=ad>buy</div><p>three</p>{end}<p>four</p></article><p>outside</p></div></body></html>"
-        page = H.parsed(html)
-        w = H.Wrapper()
-        w.add(page)
-        assert H.text_of(page, w.plan()) == "one\n\ntwo\n\nthree\n\nfour", start[:20]
-    page = H.parsed("<body>" + "<div>" * 250 + "<article><header>head</header><p>one</p></article><header>site</header>" + "</div>" * 250 + "<p>two</p>")
-    assert [H._dropped(slot) for slot, _, _ in page.blocks] == [False, False, True, False]
-    assert [H._content(slot) is None for slot, _, _ in page.blocks] == [False, False, True, True]
-    assert H.parsed("<font>" * 100_000 + "<p>x" * 2000).blocks[-1][1] == "x"
+        assert texts(html) == ["one\n\ntwo\n\nthree\n\nfour"], start[:20]
+    assert texts("<body>" + "<div>" * 250 + "<article><header>head</header><p>one</p></article><header>site</header>" + "</div>" * 250 + "<p>two</p>") == ["head\n\none"]
+    assert H.parsed("<font>" * 100_000 + "<p>x" * 2000).blocks[-1] == "x"
+    assert texts("<nav><div class=ad><div>" * 2000 + "deep" + "</div></div></nav>" * 2000 + "<p>x") == ["x"]
