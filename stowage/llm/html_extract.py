@@ -90,10 +90,11 @@ class Part:
     characters, characters in links and the most frequent texts; on a page, at are the numbers of its blocks.
     """
 
-    __slots__ = ("label", "inner", "repeated", "optional", "pages", "const", "blocks", "chars", "linked", "texts", "at")
+    __slots__ = ("label", "inner", "repeated", "optional", "pages", "const", "blocks", "chars", "linked", "texts", "at", "flow")
 
     def __init__(self, label: str, inner: list[Part], const: int | None = None, pages: int = 1):
         self.label, self.inner, self.const, self.pages = label, inner, const, pages
+        self.flow = label[0] in "#(" or label.partition(" ")[0] in FLOW
         self.repeated = self.optional = False
         self.blocks = self.chars = self.linked = 0
         self.texts: dict[int, int] = {}
@@ -236,6 +237,8 @@ def _cut(parts: list[Part], keys: list) -> list[tuple[object, list[Part]]]:
 
 def _flow(a: list[Part], b: list[Part]) -> Pairs:
     """Running text: runs of labels that agree at either end, and what is between as one group if labels come back in it."""
+    if len({p.label for p in (*a, *b)}) == 1 and a[0].label != "()":
+        return _siblings(a, b)
     x, y = (_cut(parts, [p.label for p in parts]) for parts in (a, b))
     head, tail = 0, 0
     while head < min(len(x), len(y)) and x[head][0] == y[head][0] != "()":
@@ -264,20 +267,21 @@ def _flow(a: list[Part], b: list[Part]) -> Pairs:
     return made + [pair for (_, c), (_, d) in zip(x[len(x) - tail :], y[len(y) - tail :], strict=True) for pair in _siblings(c, d)]
 
 
-def _is_flow(part: Part) -> bool:
-    return part.label[0] in "#(" or part.tag in FLOW
-
-
 def pairs(a: list[Part], b: list[Part]) -> Pairs:
     """Two lists of siblings aligned: (parts of a, parts of b) that correspond; one is empty for what only the other has."""
-    x, y = (_cut(parts, ["" if _is_flow(p) else p.label for p in parts]) for parts in (a, b))
+    if len(a) == len(b) == 1 and a[0].label == b[0].label != "()":
+        return [(a, b)]
+    x, y = (_cut(parts, ["" if p.flow else p.label for p in parts]) for parts in (a, b))
     made: Pairs = []
 
     def both(c: list[Part], d: list[Part]) -> None:
-        made.extend(_flow(c, d) if _is_flow(c[0]) else _siblings(c, d))
+        made.extend(_flow(c, d) if c[0].flow else _siblings(c, d))
 
     def apart(x: list, y: list, keys: list) -> None:
         """Elements whose names differ: by names without numbers, then by tags of the same shape, else by themselves."""
+        if len(x) == len(y) == 1 and x[0][0] == y[0][0]:
+            both(x[0][1], y[0][1])
+            return
         if not x or not y or not keys:
             made.extend([([p], []) for _, run in x for p in run] + [([], [p]) for _, run in y for p in run])
             return
@@ -290,7 +294,7 @@ def pairs(a: list[Part], b: list[Part]) -> Pairs:
                 apart(x[i:j], y[p:q], rest)
 
     shape = lambda p: (p.tag, frozenset(k.tag for k in p.inner))
-    apart(x, y, [lambda p: "" if _is_flow(p) else p.label, lambda p: unnumbered(p.label), shape])
+    apart(x, y, [lambda p: "" if p.flow else p.label, lambda p: unnumbered(p.label), shape])
     return made
 
 
