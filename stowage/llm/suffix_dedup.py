@@ -2,15 +2,19 @@
 
 Every string of `length` bytes has an anchor, the first of its k-byte pieces with the least hash; equal strings
 have equal anchors at equal places. So occurrences of a string can only be among the contexts of one anchor,
-and contexts are aligned at it. Contexts with the same hash are equal and all but the first one's strings are
-repeated; this settles most, without their bytes. The contexts left over of an anchor that has several are
-put in order column by column from the right: each round inserts one symbol in front of every context's suffix,
-updates their order (the collection's Burrows-Wheeler transform is the symbols inserted, in this order) and the
-common prefixes of neighbours, and reads its column from an external file written once, front to back. In a
-column, contexts whose neighbours share `length` bytes hold the same string, and all but the first repeat it.
+and contexts are aligned at it. The contexts of each anchor that has several are put in order column by column
+from the right: each round inserts one symbol in front of every context's suffix, updates their order (the
+collection's Burrows-Wheeler transform is the symbols inserted, in this order) and the common prefixes of
+neighbours, and reads its column from an external file written once, front to back. In a column, contexts whose
+neighbours share `length` bytes hold the same string, and all but the first repeat it.
 
 Inserting the symbols of whole documents instead would take as many rounds as the longest document has bytes,
 each over everything inserted so far; with contexts there are never more than 2 * length - k rounds.
+
+Only where some texts are read together, their equal contexts, compared byte by byte, are sent as one: all but the
+first one's strings are repeated. Hashes choose what is compared, and never decide that bytes are equal. An anchor
+with very many contexts is split by content: strings that start up to half as far before it as others share more
+bytes with each other than the anchor, and these are their anchor from then on.
 """
 
 from __future__ import annotations
@@ -25,15 +29,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_runs, written
+from .common import BROADCAST_ROWS, whole_runs, written
 
 LENGTH, PIECE = 100, 20
 #: Bytes that are looked at together; a longer text is cut into parts that overlap by length - 1 bytes.
 CHUNK = 1 << 20
 #: Texts whose anchors are compared before they are sent.
 TEXTS = 2048
-#: Contexts of one anchor that are sorted together; an anchor with more goes string by string.
-CONTEXTS = 200_000
+#: Contexts of one anchor that stay together; those of an anchor with more are split by content.
+CONTEXTS = 2048
+#: An anchor with more than one in so many of all is dealt to several tasks when anchors are counted; a sample tells which.
+HOT_ANCHORS, SAMPLED = 2000, 0.02
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -72,7 +78,7 @@ def _piece_hashes(data: np.ndarray, size: int) -> np.ndarray:
 def anchors(texts: list[bytes], length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, ...]:
     """(text, anchor, first, last, anchor's hash, context's hash): for each anchor the strings from first to last start have it.
 
-    Places are bytes within the text. The context is all bytes of those strings.
+    Places are bytes within the text. The context is all bytes of those strings; its hash only helps to find equal ones.
     """
     parts, which, base = [], [], []
     for k, text in enumerate(texts):
@@ -134,70 +140,52 @@ def _unpacked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x >> 16, (x >> 8) & 255, x & 255
 
 
-_SEEN = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("settled", pa.bool_())])
+_SEEN = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("settled", pa.bool_())])
 
 
 def _anchored(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The anchors of all texts; a context that these texts have earlier is settled here and not sent to be compared."""
+    """The anchors of all texts; a context that these texts have earlier, byte for byte, is settled here and not sent to be compared."""
     for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
-        docs = batch.column("doc").to_numpy()
-        which, anchor, first, last, hashes, context = anchors(batch.column("text").to_pylist(), length)
+        docs, texts = batch.column("doc").to_numpy(), batch.column("text").to_pylist()
+        which, anchor, first, last, hashes, context = anchors(texts, length)
         doc, place = docs[which], _packed(anchor, first, last)
-        key, context = hashes.view(np.int64), context.view(np.int64)
+        key = hashes.view(np.int64)
         order = np.lexsort((place, doc, context, key))
-        key, context, doc, place = key[order], context[order], doc[order], place[order]
         # a repeated row of a document is the document itself and not an earlier one
         single = np.ones(len(key), bool)
-        single[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-        key, context, doc, place = key[single], context[single], doc[single], place[single]
-        settled = np.zeros(len(key), bool)
-        settled[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
-        # settled ones go anywhere, by their documents
-        key = np.where(settled, _mix(doc.view(_U)).view(np.int64), key)
-        for at in range(0, len(key), 65536):
-            part = slice(at, at + 65536)
-            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (key, context, doc, place, settled)], schema=_SEEN)
-
-
-def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted by key, context, document and place: those settled, and the first of each context if its key has several.
-
-    One pass in constant memory, however many anchors have a key.
-    """
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("settled", pa.bool_())])
-    last: tuple | None = None  # the last anchor: key, context, document, place
-    waiting: tuple | None = None  # the first of the last context: key, doc, place, whether its key has an earlier context
+        a, b = order[1:], order[:-1]
+        single[1:] = (key[a] != key[b]) | (doc[a] != doc[b]) | (place[a] != place[b])
+        order = order[single]
+        settled = np.zeros(len(order), bool)
+        a, b = order[1:], order[:-1]
+        maybe = np.flatnonzero((key[a] == key[b]) & (context[a] == context[b]))
+        ends = last + length
+        spans = zip(*(x[y[maybe]].tolist() for y in (a, b) for x in (which, first, ends)), strict=True)
+        settled[maybe + 1] = [texts[t][i:j] == texts[u][k:n] for t, i, j, u, k, n in spans]
+        for at in range(0, len(order), 65536):
+            part = order[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[part], doc[part], place[part], settled[at : at + 65536])], schema=_SEEN)
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors sorted by key: those whose key others have too, or that are known to be hot. In constant memory."""
+    names = ["key", "doc", "place"]
+    last: tuple | None = None  # the last anchor, and whether its key was there before
     for batch in batches:
-        done = batch.column("settled").to_numpy(zero_copy_only=False)
-        columns = [batch.column(c).to_numpy() for c in ("key", "context", "doc", "place")]
-        out = [[c[done] for c in (columns[0], columns[2], columns[3])] + [np.ones(done.sum(), bool)]]
-        key, context, doc, place = (c[~done] for c in columns)
-        if len(key):
-            new_key = np.ones(len(key), bool)
-            new_context = np.ones(len(key), bool)
-            new_key[1:] = key[1:] != key[:-1]
-            new_context[1:] = new_key[1:] | (context[1:] != context[:-1])
-            same = np.zeros(len(key), bool)
-            same[1:] = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
-            if last is not None:
-                new_key[0] = key[0] != last[0]
-                new_context[0] = new_key[0] or context[0] != last[1]
-                same[0] = doc[0] == last[2] and place[0] == last[3]
-            last = (key[-1], context[-1], doc[-1], place[-1])
-            again = ~new_context & ~same
-            out.append([key[again], doc[again], place[again], np.ones(again.sum(), bool)])
-            heads = np.flatnonzero(new_context)
-            if len(heads):
-                shared = ~new_key[heads]
-                if waiting is not None and (waiting[3] or shared[0]):
-                    out.append([np.array([waiting[0]]), np.array([waiting[1]]), np.array([waiting[2]]), np.zeros(1, bool)])
-                some = heads[:-1][shared[:-1] | shared[1:]]
-                out.append([key[some], doc[some], place[some], np.zeros(len(some), bool)])
-                h = heads[-1]
-                waiting = (key[h], doc[h], place[h], bool(shared[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
-    if waiting is not None and waiting[3]:
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*waiting[:3], False)], schema=schema)
+        key = batch.column("key").to_numpy()
+        if not len(key):
+            continue
+        equal = np.zeros(len(key) + 1, bool)  # whether each has the key of the one before
+        equal[1:-1] = key[1:] == key[:-1]
+        equal[0] = last is not None and key[0] == last[0]
+        several = equal[:-1] | equal[1:] | (batch.column("turn").to_numpy() >= 0)
+        out = [batch.column(c).to_numpy()[:-1][several[:-1]] for c in names]
+        if last is not None and (last[3] or equal[0]):
+            out = [np.append([x], y) for x, y in zip(last[:3], out, strict=True)]
+        last = (*(batch.column(c).to_numpy()[-1] for c in names), bool(several[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
+    if last is not None and last[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[:3]], names)
 
 
 _SPAN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -237,8 +225,12 @@ def _sorted(batches: Iterable[pa.RecordBatch], length: int, piece: int) -> Itera
         n = len(doc)
         anchor, far, near = _unpacked(place)
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        # repeated rows of a document are one occurrence
+        order = np.lexsort((anchor, doc))
+        new = np.ones(n, np.int64)
+        new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
         rank = np.empty(n, np.int64)
-        rank[np.lexsort((anchor, doc))] = np.arange(n)
+        rank[order] = np.cumsum(new) - 1
         bytes_ = table.column("bytes").combine_chunks()
         bytes_ = bytes_.chunk(0) if isinstance(bytes_, pa.ChunkedArray) else bytes_
         edges = np.frombuffer(bytes_.buffers()[1], np.int32)[bytes_.offset : bytes_.offset + n + 1].astype(np.int64)
@@ -287,49 +279,96 @@ def _plain(text: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(text)
 
 
-def _contexts(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-            plain = _plain(text)
-            anchor, far, near = _unpacked(np.array([x["place"] for x in found], np.int64))
-            pieces = [plain[a - f : a - b + length] for a, f, b in zip(anchor.tolist(), far.tolist(), near.tolist(), strict=True)]
-            docs = pa.array([x["doc"] for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in found], pa.int64()), docs, pa.array([x["place"] for x in found], pa.int64()), pa.array(pieces, pa.binary())], ["key", "doc", "place", "bytes"])
+_CONTEXT = pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("doc", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
 
 
-def _strings(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each string of each context by itself, as a hash of 128 bits."""
+def _contexts(batches: Iterable[pa.RecordBatch], length: int, piece: int) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
+        keys, docs, places, pieces = [], [], [], []
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("found"), strict=True):
+            plain, found = _plain(text), found.values
+            place = found.field("place").to_numpy()
+            anchor, far, near = _unpacked(place)
+            fits = anchor - near + length <= len(plain)
+            pieces += [plain[a - f : a - b + length] for a, f, b in zip(anchor[fits].tolist(), far[fits].tolist(), near[fits].tolist(), strict=True)]
+            keys.append(found.field("key").to_numpy()[fits])
+            docs.append(found.field("doc").to_numpy()[fits])
+            places.append(place[fits])
+        n = len(pieces)
+        longs = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, docs, places)]
+        yield pa.RecordBatch.from_arrays([longs[0], pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, length - piece, np.int32)), *longs[1:], pa.array(pieces, pa.binary())], schema=_CONTEXT)
+
+
+def _halved(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Contexts split into those of the strings that start nearer to the anchor and further from it.
+
+    Strings that start `low` to `high` bytes before an anchor all have the bytes from `low` before it to length - high
+    after it; these make the new key. Equal contexts read together are settled but for the first.
+    """
+    schema = _CONTEXT.append(pa.field("settled", pa.bool_()))
     for batch in batches:
-        hashes, docs, starts = [], [], []
-        for doc, place, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "place", "bytes")), strict=True):
+        first: dict[tuple[int, int, int, bytes], tuple[int, int]] = {}
+        rows = []
+        for key, low, high, doc, place, data in zip(*(batch.column(c).to_pylist() for c in _CONTEXT.names), strict=True):
             anchor, far, near = place >> 16, place >> 8 & 255, place & 255
-            for k in range(far - near + 1):
-                hashes.append(hashlib.blake2b(data[k : k + length], digest_size=16).digest())
-                docs.append(doc)
-                starts.append(anchor - far + k)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64())], ["hash", "doc", "start"])
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                f, n = min(far, b), max(near, a)
+                if a > b or f < n:
+                    continue
+                own = data[far - f : far - n + length]
+                common = own[f - a : f - b + length]
+                name = int.from_bytes(hashlib.blake2b(b"%d %d %d " % (key, a, b) + common, digest_size=8).digest(), "little", signed=True)
+                where = (name, f, n, own)
+                at = (doc, (anchor << 16) | (f << 8) | n)
+                rows.append((name, a, b, *at, own, where))
+                first[where] = min(first.get(where, at), at)
+        out = list({(*r[:6], first[r[6]] != (r[3], r[4])) for r in rows})
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """(doc, start, end): spans of bytes, overlapping ones among them, that cover what repeats; docs is (doc long, text binary)."""
-    seen = docs.where("doc is not null").mapInArrow(lambda b: _anchored(b, length), "key long, context long, doc long, place long, settled boolean")
-    keys = ["key", "context", "doc", "place"]
-    known = written(seen.repartition("key").sortWithinPartitions(*keys).mapInArrow(_compared, "key long, doc long, place long, settled boolean"))
+    spark = docs.sparkSession
+    spark_type = "doc long, place long"
     anchor, far, near = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
-    settled = known.where("settled").select("doc", (anchor - far).alias("start"), (anchor - near + length).alias("end"))
-    found = known.where("not settled").groupBy("doc").agg(F.collect_list(F.struct("key", "doc", "place")).alias("found"))
-    pressed = docs.where("doc is not null").mapInArrow(_pressed, "doc long, text binary")
-    contexts = written(pressed.join(found, "doc").mapInArrow(lambda b: _contexts(b, length), "key long, doc long, place long, bytes binary"))
-    counts = written(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXTS).select("key"))
-    some = bool(counts.head(1))
-    cool = contexts.join(counts, "key", "left_anti") if some else contexts
-    spans = cool.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, length, piece), "doc long, start long, end long")
-    if some:
-        strings = contexts.join(counts, "key", "left_semi").mapInArrow(lambda b: _strings(b, length), "hash binary, doc long, start long")
-        first = strings.groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("first"))
-        again = strings.join(first, "hash").where(F.struct("doc", "start") > F.col("first"))
-        spans = spans.unionByName(again.select("doc", "start", (F.col("start") + length).alias("end")))
-    return settled.unionByName(spans)
+    whole = lambda df: df.select("doc", (anchor - far).alias("start"), (anchor - near + length).alias("end"))
+
+    own = docs.where("doc is not null")
+    seen = written(own.mapInArrow(lambda b: _anchored(b, length), f"key long, {spark_type}, settled boolean"))
+    spans = whole(seen.where("settled"))
+    open_ = seen.where("not settled").select("key", "doc", "place")
+    # an anchor that very many contexts have is shared for certain, so these need not meet to be found
+    often = open_.sample(SAMPLED, seed=1).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    total = open_.count()
+    hot = [r.key for r in often.where(F.col("n") * HOT_ANCHORS > total * SAMPLED).where("n > 100").select("key").collect()]
+    hot = F.broadcast(spark.createDataFrame([(k, True) for k in hot], "key long, hot boolean"))
+    turn = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "place"), F.lit(HOT_ANCHORS))).otherwise(-1)
+    dealt = open_.join(hot, "key", "left").withColumn("turn", turn.cast("long")).select("key", "turn", "doc", "place")
+    found = dealt.repartition("key", "turn").sortWithinPartitions("key").mapInArrow(_shared, f"key long, {spark_type}")
+    found = found.groupBy("doc").agg(F.collect_list(F.struct("key", "doc", "place")).alias("found"))
+    pressed = own.mapInArrow(_pressed, "doc long, text binary")
+    kind = "key long, low int, high int, doc long, place long, bytes binary"
+    contexts = written(pressed.join(found, "doc").mapInArrow(lambda b: _contexts(b, length, piece), kind))
+    while True:
+        counts = written(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXTS).select("key"))
+        many = counts.count()
+        small = F.broadcast(counts) if many <= BROADCAST_ROWS else counts
+        cool = contexts.join(small, "key", "left_anti") if many else contexts
+        spans = spans.unionByName(cool.select("key", "doc", "place", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sorted(b, length, piece), "doc long, start long, end long"))
+        if not many:
+            return spans
+        hot = contexts.join(small, "key", "left_semi")
+        # where the anchor is the whole string there is nothing to sort; the first of each is found with partial minima
+        single = hot.where("low = high")
+        least = written(single.groupBy("bytes").agg(F.min(F.struct("doc", "place")).alias("at")))
+        least = F.broadcast(least) if least.count() <= BROADCAST_ROWS // 10 else least
+        spans = spans.unionByName(whole(single.join(least, "bytes").where(F.struct("doc", "place") > F.col("at"))))
+        halves = written(hot.where("low < high").mapInArrow(lambda b: _halved(b, length), f"{kind}, settled boolean"))
+        spans = spans.unionByName(whole(halves.where("settled")))
+        left = halves.where("not settled").drop("settled")
+        several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        contexts = written(left.join(several, "key"))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -337,8 +376,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Removed is each byte covered by a string of `length` bytes that also starts earlier: in a text of a smaller id, or
     in the same text further to the front. Texts are their UTF-8 bytes; a null text is an empty one. Rows of null id
-    are neither cut nor count as earlier; rows that share an id must have equal texts and are cut alike. kept may end
-    within a character. Other columns are not looked at; no rows give no rows.
+    are neither cut nor count as earlier. Rows that share an id are one document: what repeats in one of their texts is
+    cut from all of them as far as they go, so with equal texts they are cut alike. kept may end within a character. Other columns are not looked at; no rows give no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     spans = repeated_spans(docs, length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -351,7 +390,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                     text = _plain(text)
                     runs: list[list[int]] = []
-                    for a, b in sorted((x["start"], min(x["end"], len(text))) for x in found or ()):
+                    for a, b in sorted((x["start"], min(x["end"], len(text))) for x in found or () if x["start"] < len(text)):
                         if runs and a <= runs[-1][1]:
                             runs[-1][1] = max(b, runs[-1][1])
                         else:

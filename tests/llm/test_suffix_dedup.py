@@ -41,10 +41,12 @@ def mixture(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("most", [200_000, 3])
+@pytest.mark.parametrize("most", [200_000, 2048, 40, 3, 1])
 def test_agrees_with_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(S, "CONTEXTS", most)
     monkeypatch.setattr(S, "CHUNK", 700)
+    if most < 100:
+        monkeypatch.setattr(S, "HOT_ANCHORS", 10**9)
     rows = mixture(most, 250)
     assert run(spark, rows) == brute(rows, 100)
 
@@ -62,3 +64,48 @@ def test_edges(spark):
     assert got[0] == (0, 460, 460) and got[1] == (1, 0, 0) and got[4] == (3, 460, 0)
     assert got[2] == got[3] and got[2][2] < first
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    # rows that share an id are one document: what repeats in one text goes from all
+    df = spark.createDataFrame([(1, long), (5, "x"), (5, long), (5, "y" + long), (6, "y" + long)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, len(r.kept), len(r.removed)) for r in S.deduplicated(df).collect())
+    assert got[1] == (5, 1, 0, 1) and got[2][:3] == (5, 460, 0) and got[4][:3] == (6, 461, 0)
+    clash = df.where("doc_id = 1").selectExpr("*", "1 as doc", "'x' as start", "2 as key", "3 as place", "4 as found", "'a' as removed")
+    assert S.deduplicated(clash).columns == ["doc_id", "n_bytes", "removed", "kept"] and S.deduplicated(clash).count() == 1
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    """Contexts with colliding hashes are told apart by their bytes."""
+    rng = random.Random(4)
+    tail = "".join(rng.choices("abcdefgh", k=150))
+    texts = [("".join(rng.choices("xyz", k=60)) + tail).encode() for _ in range(20)] + [tail.encode()] * 2
+    real = S.anchors
+
+    def colliding(texts, length):
+        *rest, context = real(texts, length)
+        return *rest, context * 0
+
+    monkeypatch.setattr(S, "anchors", colliding)
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(range(22)), S.pa.array(texts, S.pa.binary())], ["doc", "text"])
+    for made in S._anchored([batch], 100):
+        rows = made.to_pylist()
+        kept = {}
+        for r in rows:
+            anchor, far, near = S._unpacked(r["place"])
+            own = (r["key"], texts[r["doc"]][anchor - far : anchor - near + 100])
+            if not r["settled"]:
+                kept.setdefault(own, []).append(r["doc"])
+        settled = [r for r in rows if r["settled"]]
+        assert settled and all(len(x) >= 1 for x in kept.values())
+        for r in settled:
+            anchor, far, near = S._unpacked(r["place"])
+            assert any(k[1] == texts[r["doc"]][anchor - far : anchor - near + 100] for k in kept)
+
+
+def test_hot_passage(spark, monkeypatch):
+    """A passage in most documents, with other text around it in each: its anchor is split until what is left is equal."""
+    monkeypatch.setattr(S, "CONTEXTS", 16)
+    monkeypatch.setattr(S, "SAMPLED", 1.0)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefg", k=rng.randrange(2, 8)))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(30))) + (passage if k % 3 else " ") + " ".join(word() for _ in range(20))) for k in range(400)]
+    assert run(spark, rows) == brute(rows, 100)
