@@ -86,6 +86,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def smallest_ids(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) for each of nodes (node long, least long): the smallest `least` of all nodes that links (u, v) lead to."""
+    groups = connected_components(links)
+    least = groups.join(nodes, "node").groupBy("component").agg(F.min("least").alias("__of"))
+    found = groups.join(least, "component").select("node", "__of")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("__of", "least").alias("component"))
+
+
+def whole_ids(df: DataFrame, id_col: str) -> str:
+    """The type of an id column; others than integers are refused, as the smallest of a group is looked for."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} has to be of integers, not {kind}")
+    return kind
+
+
 def in_blocks(df: DataFrame, bucket: str, key: str, rows: int) -> DataFrame:
     """df with columns block, block_i and block_j, each row once for every pair of blocks that its block is in.
 
@@ -109,11 +125,11 @@ def dealt_join(df: DataFrame, small: DataFrame, keys: list[str], rows: str) -> D
     key is one task's. There are fewer than HOT such keys, so their list is broadcast.
     """
     total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
-    hot = written(small.where(F.col(rows) * HOT > total).select(*keys, F.ceil(F.col(rows) * HOT / F.lit(max(1, total))).cast("int").alias("__n")))
-    own = df.join(F.broadcast(hot), keys, "left").withColumn("__turn", F.coalesce(F.floor(F.rand(7) * F.col("__n")).cast("int"), F.lit(0))).drop("__n")
-    turns = F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))
-    other = small.drop(rows).join(F.broadcast(hot), keys, "left").withColumn("__turn", turns).drop("__n")
-    return own.join(other, [*keys, "__turn"], "left").drop("__turn")
+    hot = written(small.where(F.col(rows) * HOT > total).select(*keys, F.ceil(F.col(rows) * HOT / F.lit(max(1, total))).cast("int").alias("__hot_turns")))
+    own = df.join(F.broadcast(hot), keys, "left").withColumn("__hot_turn", F.coalesce(F.floor(F.rand(7) * F.col("__hot_turns")).cast("int"), F.lit(0))).drop("__hot_turns")
+    turns = F.explode(F.sequence(F.lit(0), F.coalesce("__hot_turns", F.lit(1)) - 1))
+    other = small.drop(rows).join(F.broadcast(hot), keys, "left").withColumn("__hot_turn", turns).drop("__hot_turns")
+    return own.join(other, [*keys, "__hot_turn"], "left").drop("__hot_turn")
 
 
 def whole_runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], most: int = 65536) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -76,3 +76,23 @@ def test_lines_joined_by_host_agree(spark, monkeypatch):
     assert sorted(map(str, L.drop_boilerplate(df).collect())) == small
     assert L.cleaned(df.limit(0)).count() == 0
     assert L.cleaned(df.withColumn("n_chars", F.lit(1)).withColumn("n_lines_dropped", F.lit("x"))).columns == [*df.columns, "n_chars", "n_lines_dropped"]
+
+
+def test_keys_are_128_bits(spark):
+    """The halves of a key are independent: two different functions of the line, not one of the other."""
+    rows = spark.createDataFrame([(f"line {k}",) for k in range(50)], "x string").select(L._key(F.col("x")).alias("k"), F.xxhash64("x").alias("one"), F.xxhash64("x", F.lit("line")).alias("chained")).collect()
+    assert all(r.k.a == r.one and r.k.b not in (r.one, r.chained) for r in rows)
+    assert len({r.k.a ^ r.k.b for r in rows}) == 50
+
+
+def test_blank_lines_and_copies(spark, tmp_path):
+    """Lines of any ASCII white space stay; copies are one page, so a copied text keeps its lines."""
+    copied = "one line\nand another"
+    rows = [(k, "h", copied, "en") for k in range(30)] + [(100 + k, "h", f"own {k}\n\t\n \x0b\f\r \nfooter" + ("\n\u00a0" if k % 2 else ""), "en") for k in range(40)]
+    rows += [(200 + k, "=", f"x {k}\nfooter", "en") for k in range(5)] + [(300 + k, None, f"y {k}\nfooter", "en") for k in range(2)] + [(400 + k, "", "footer", "en") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string")
+    got = {r.doc_id: r.text for r in L.drop_boilerplate(df).collect()}
+    assert all(got[k] == copied for k in range(30)) and got[100] == "own 0\n\t\n \x0b\f\r " and got[101] == "own 1\n\t\n \x0b\f\r "
+    assert got[200] == "x 0" and got[300] == "y 0\nfooter" and got[400] == "footer"
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    agree(spark, L.op8_line_dedup(spark, str(tmp_path)), L.OP8_SQL, documents=duckdb.sql(f"SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").df())
