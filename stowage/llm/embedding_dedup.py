@@ -16,47 +16,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, in_blocks, whole_runs, written
+from .common import dealt_join, in_blocks, forest, smallest_ids, whole_ids, whole_runs, written
 
 COSINE = 0.95
-#: Tables, hashes of a code, and codes probed in each table. At cosine 0.95 in 64 dimensions a pair fails to
-#: meet in a table one time in five, and in all tables less than three times in a million.
-TABLES, HASHES, PROBES = 8, 2, 4
+#: For each number of hashes of a code: tables in 64 dimensions, tables more for each doubling of these, and codes
+#: probed in each table. At cosine 0.95 a pair then fails to meet in all tables for about one to four pairs in a million.
+LAYOUTS = {2: (8, 1, 4), 3: (11, 2, 8), 4: (18, 4, 8)}
 SEED = 11
-#: Rows of a bucket that are compared as one unit; two blocks of a larger bucket are twice as many.
+#: Rows of a bucket that are compared as one unit; two blocks of a larger bucket are twice as many. With more rows
+#: than fill the buckets of two hashes so far, codes have three or four hashes.
 BLOCK = 2048
+#: Bits of a bucket's number that are its code.
+CODE_BITS = 40
+
+
+def layout(rows: int, dimensions: int) -> tuple[int, int, int]:
+    """(tables, hashes, probes) for so many rows."""
+    size = max(2, 1 << (dimensions - 1).bit_length())
+    doublings = max(0, size.bit_length() - 7)
+    for hashes, (tables, more, probes) in LAYOUTS.items():
+        if rows * probes <= BLOCK * (2 * size) ** hashes or hashes + 1 not in LAYOUTS or (2 * size) ** (hashes + 1) > 1 << CODE_BITS:
+            return tables + more * doublings, hashes, probes
+    raise AssertionError
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The Hadamard transform of each row; their length is a power of two."""
+    """The Hadamard transform of each row, not scaled; their length is a power of two."""
     n, half = x.shape[1], 1
     while half < n:
         y = x.reshape(len(x), -1, 2, half)
-        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(len(x), n)
+        z = np.empty_like(y)
+        np.add(y[:, :, 0], y[:, :, 1], out=z[:, :, 0])
+        np.subtract(y[:, :, 0], y[:, :, 1], out=z[:, :, 1])
+        x = z.reshape(len(x), n)
         half *= 2
-    return x / np.sqrt(n)
+    return x
 
 
-def codes_of(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
-    """Codes of each row: (rows, tables, probes), the nearest first."""
+def codes_of(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = SEED) -> np.ndarray:
+    """Codes of each row: (rows, tables, probes), the nearest first. Single precision is enough to find candidates."""
     rows, n = x.shape
     size = max(2, 1 << (n - 1).bit_length())
-    padded = np.zeros((rows, size))
-    padded[:, :n] = x
+    padded = np.zeros((rows, size), np.float32)
+    padded[:, :n] = x / np.abs(x).max(axis=1, keepdims=True)
     rng = np.random.default_rng([seed, size])
-    each = min(probes, size)
+    each, every = min(probes, size), np.arange(rows)
     made = np.zeros((rows, tables, probes), np.int64)
     for t in range(tables):
         codes = np.zeros((rows, 1), np.int64)
-        cost = np.zeros((rows, 1))
+        cost = np.zeros((rows, 1), np.float32)
         for _ in range(hashes):
             turned = padded
-            for sign in rng.choice([-1.0, 1.0], size=(3, size)):
+            for sign in rng.choice(np.array([-1, 1], np.float32), size=(3, size)):
                 turned = hadamard(turned * sign)
-            best = np.argsort(-np.abs(turned), axis=1, kind="stable")[:, :each]
-            value = np.take_along_axis(turned, best, 1)
-            axis = best * 2 + (value < 0)
-            behind = (np.abs(value[:, :1]) - np.abs(value)) ** 2
+            turned = turned / np.float32(size**1.5)
+            left = np.abs(turned)
+            best, value = np.empty((rows, each), np.int64), np.empty((rows, each), np.float32)
+            for k in range(each):
+                best[:, k] = left.argmax(axis=1)
+                value[:, k] = left[every, best[:, k]]
+                left[every, best[:, k]] = -1
+            axis = best * 2 + (np.take_along_axis(turned, best, 1) < 0)
+            behind = (value[:, :1] - value) ** 2
             codes = (codes[:, :, None] * (2 * size) + axis[:, None, :]).reshape(rows, -1)
             cost = (cost[:, :, None] + behind[:, None, :]).reshape(rows, -1)
             order = np.argsort(cost, axis=1, kind="stable")[:, :probes]
@@ -66,21 +87,47 @@ def codes_of(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes:
     return made
 
 
-def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        vectors = batch.column("vector").to_pylist()
-        by_size: dict[int, list[int]] = {}
-        for k, v in enumerate(vectors):
-            by_size.setdefault(len(v), []).append(k)
-        for rows in by_size.values():
-            codes = codes_of(np.array([vectors[k] for k in rows], np.float64))
-            part = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(codes.reshape(len(rows), -1)), pa.list_(pa.int64()))], [*part.schema.names, "codes"])
+def _blobs(x: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    edges = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column as one array, and where in it each row begins."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    edges = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+    return np.frombuffer(whole.buffers()[2], np.uint8), edges
 
 
-def _met(unit: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
+def _code_kind(hashes: int, dimensions: int) -> str:
+    return "<u4" if (2 * max(2, 1 << (dimensions - 1).bit_length())) ** hashes <= 1 << 32 else "<i8"
+
+
+def _coded(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The vectors' bytes, their codes' bytes, and the bucket of each code, null for one that repeats the first."""
+    for batch in batches:
+        vectors = batch.column("vector")
+        edges, values = vectors.offsets.to_numpy(), vectors.values.to_numpy()
+        sizes = np.diff(edges)
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            x = values[edges[own][:, None] + np.arange(n)]
+            tables, hashes, probes = layout(rows, n)
+            codes = codes_of(x, tables, hashes, probes)
+            buckets = codes + (np.int64(n * 64) + np.arange(tables)[None, :, None] << CODE_BITS)
+            again = codes == codes[:, :, :1]
+            again[:, :, 0] = False
+            flat = pa.array(buckets.ravel(), mask=again.ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (tables * probes)), flat)
+            part = batch.take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), _blobs(x), _blobs(codes.reshape(len(own), -1).astype(_code_kind(hashes, n))), lists], ["node", "n", "vector", "codes", "buckets"])
+
+
+def _met(probes: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
     """Which of the linked pairs (a, b) that meet in this bucket don't meet in an earlier one."""
-    first, probes = unit["codes"][:, :, 0], unit["codes"]
+    first = probes[:, :, 0]
     new = np.ones(len(a), bool)
     for t in range(table + 1):
         at_a = (probes[b, t] == first[a, t, None]).any(1)
@@ -92,24 +139,26 @@ def _met(unit: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, table: int,
     return new
 
 
-def _links(batches: Iterable[pa.RecordBatch], cosine: float, tables: int, probes: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterable[pa.RecordBatch], cosine: float, rows: int, kind: str) -> Iterator[pa.RecordBatch]:
     """(u, v, n): for u a number n of linked vectors, v being null, or a link of a spanning forest, n being null."""
     for table, starts in whole_runs(batches, ("bucket", "block_i", "block_j"), 8192):
-        node, weight, first, block, bi, bj = (table.column(c).to_numpy() for c in ("node", "n", "first", "block", "block_i", "block_j"))
-        vectors = table.column("vector").combine_chunks()
-        offsets, values = vectors.offsets.to_numpy(), vectors.values.to_numpy().astype(np.float64)
-        codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(node), tables, probes)
-        which, bucket_code = table.column("table").to_numpy(), table.column("code").to_numpy()
+        node, weight, place, block, bi, bj, bucket = (table.column(c).to_numpy() for c in ("node", "n", "place", "block", "block_i", "block_j", "bucket"))
+        (vectors, edges), (codes, code_edges) = _bytes(table.column("vector")), _bytes(table.column("codes"))
         counts: dict[int, int] = {}
         us, vs = [], []
         for begin, end in zip(starts, np.append(starts[1:], len(node)), strict=True):
-            if end - begin < 2 or not first[begin:end].any():
+            if end - begin < 2:
+                continue
+            which, code = int(bucket[begin]) >> CODE_BITS, int(bucket[begin]) & (1 << CODE_BITS) - 1
+            tables, hashes, probes = layout(rows, which // 64)
+            heads, found = place[begin:end] % probes == 0, []
+            if not heads.any():
                 continue
-            x = values[offsets[begin] : offsets[end]].reshape(end - begin, -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            unit = {"codes": codes[begin:end]}
+            x = vectors[edges[begin] : edges[end]].view(kind).reshape(end - begin, -1).astype(np.float64)
+            x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            unit = codes[code_edges[begin] : code_edges[end]].view(_code_kind(hashes, which // 64)).reshape(end - begin, tables, probes)
             own, many = block[begin:end], bi[begin] != bj[begin]
-            heads, found = first[begin:end], []
             for at in range(0, end - begin, 1024):
                 close = x[at : at + 1024] @ x.T >= cosine
                 close &= heads[at : at + 1024, None] | heads[None]
@@ -128,7 +177,7 @@ def _links(batches: Iterable[pa.RecordBatch], cosine: float, tables: int, probes
             total = np.zeros(end - begin, np.int64)
             for at in range(0, len(pairs), 1 << 18):
                 a, b = pairs[at : at + (1 << 18)].T
-                new = _met(unit, a, b, int(which[begin]), int(bucket_code[begin]))
+                new = _met(unit, a, b, which % 64, code)
                 total += np.bincount(a[new], weight[begin:end][b[new]], end - begin).astype(np.int64)
                 total += np.bincount(b[new], weight[begin:end][a[new]], end - begin).astype(np.int64)
             for k in np.flatnonzero(total):
@@ -139,38 +188,39 @@ def _links(batches: Iterable[pa.RecordBatch], cosine: float, tables: int, probes
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), none(len(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["u", "v", "n"])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, expected: int | None = None) -> DataFrame:
     """id_col, n_links (other vectors linked directly), component_id (smallest id reachable) and kept, one row for each row of df.
 
     Vectors are linked if their cosine, in double precision, is at least `cosine`; only vectors of one length are
     compared. Null, empty and zero vectors, and those with null or non-finite components, are linked with nothing: no
-    links, their own id as component. Rows of equal vectors are linked with each other, rows of equal ids too;
-    different vectors must have different ids. Rows of null id are linked with nothing. Labels and other columns
-    are not looked at.
+    links, their own id as component. Rows of equal vectors are linked with each other, rows of equal ids too, and
+    rows of one id with different vectors are different vectors. Rows of null id are linked with nothing. Ids are
+    integers. Labels and other columns are not looked at; no rows give no rows. The tables are laid out for as many
+    different vectors as there are, or as are expected.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    id_kind = whole_ids(df, id_col)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = F.col("id").isNotNull() & F.coalesce(~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(fine, F.col("vector")))
-    nodes = rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n"))
-    kind = nodes.schema["vector"].dataType.simpleString()
-    nodes = written(nodes.select("node", "n", "vector").mapInArrow(_coded, f"node long, n long, vector {kind}, codes array<long>"))
-    # the tables' codes lie one after another; equal ones of a vector, where it has few axes, count once
-    place = F.posexplode(F.transform("codes", lambda c, k: F.struct((k / PROBES).cast("int").alias("table"), (k % PROBES == 0).alias("first"), c.alias("code"))))
-    spread = nodes.select("node", "n", "vector", "codes", place.alias("k", "p")).select("node", "n", "vector", "codes", "p.*")
-    spread = spread.where(F.col("first") | (F.col("code") != F.element_at("codes", F.col("table") * PROBES + 1)))
-    spread = spread.withColumn("bucket", F.shiftleft(F.size("vector").cast("long") * TABLES + F.col("table"), 40) + F.col("code"))
+    kind = "<f4" if rows.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
+    if kind == "<f8":
+        rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
+    distinct = written(rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    total = distinct.count() if expected is None else expected
+    nodes = written(distinct.select("node", "n", "vector").mapInArrow(lambda b: _coded(b, total), "node long, n long, vector binary, codes binary, buckets array<long>"))
+    spread = nodes.select("node", "n", "vector", "codes", F.posexplode("buckets").alias("place", "bucket")).where("bucket is not null")
     units = in_blocks(spread, "bucket", "node", BLOCK)
     keys = ["bucket", "block_i", "block_j"]
     dealt = units.repartition(*keys).sortWithinPartitions(*keys)
-    found = written(dealt.mapInArrow(lambda batches: _links(batches, cosine, TABLES, PROBES), "u long, v long, n long"))
+    found = written(dealt.mapInArrow(lambda batches: _links(batches, cosine, total, kind), "u long, v long, n long"))
     counts = found.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
-    groups = connected_components(found.where("n is null").select("u", "v"))
-    known = nodes.select("node", "n", F.col("vector").alias("of")).join(counts, "node", "left").join(groups, "node", "left")
-    known = known.select("of", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    made = rows.join(known, F.col("vector") == F.col("of"), "left")
-    component = F.coalesce("component_id", "id")
-    return made.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    groups = smallest_ids(distinct.select("node", "least"), found.where("n is null").select("u", "v"))
+    known = distinct.select("node", "n", "vector").join(groups, "node").join(counts, "node", "left")
+    known = known.select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("component").alias("component_id"), F.col("n").alias("rows"))
+    made = dealt_join(rows, known, ["vector"], "rows")
+    component = F.coalesce("component_id", "id").cast(id_kind)
+    return made.select(F.col("id").cast(id_kind).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
