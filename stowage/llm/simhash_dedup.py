@@ -1,9 +1,10 @@
 """SimHash near-dedup through a Gray-order hierarchical index.
 
 Fingerprints that differ in at most 3 bits agree in one of 4 equal segments, so each distinct fingerprint goes
-to one bucket for each segment, the segment leading; within a bucket the index finds the close pairs. Equal
-fingerprints are one node. Buckets above a bound are dealt into blocks, every two of which meet. From a bucket
-only a spanning forest of its links comes out, which keeps components as they are.
+to one bucket for each segment, the segment leading; within a bucket the index finds the close pairs. Where there
+are so many that these buckets would be large, they go by two of 5 segments or three of 6, of which as surely some
+agree. Equal fingerprints are one node. Buckets above a bound are dealt into blocks, every two of which meet. From
+a bucket only a spanning forest of its links comes out, which keeps components as they are.
 
 64 bits at 3 differences tell near copies of long texts only. For a similarity of shingle sets, a fingerprint
 can have several words of 64 bits: two texts meet where a segment of any word agrees, the index prunes by
@@ -16,7 +17,7 @@ hashes of their shingles, and in each group of candidates the sets themselves de
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, in_blocks, per_text, whole_runs, written
+from .common import connected_components, dealt_join, forest, in_blocks, per_text, smallest_ids, whole_ids, whole_runs, written
 from .gray_index import close_pairs, gray_rank
 
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Segments of a word of 64 bits, one of which has to agree.
 SEGMENTS = 4
+#: Segments a word is cut into, of which all but SEGMENTS - 1 agree, as long as buckets would be larger than BLOCK.
+MOST_SEGMENTS = 6
 #: Rows of a bucket that are compared as one unit; two blocks of a larger bucket are twice as many.
 BLOCK = 2048
 #: For near copies by sets of shingles of 5 words: words of a fingerprint, bits of all and of one word that may differ.
@@ -91,14 +94,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def work(texts: list[bytes | None]) -> dict[str, list]:
         return {"code": list(np.array([fingerprint(t, shingle, seed, words, distinct) for t in texts], np.uint64).reshape(-1, words).view(np.int64))}
 
-    return df.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as binary) as text").mapInArrow(per_text(work, out, ["id"], "text"), "id long, code array<long>")
+    return df.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as binary) as text").mapInArrow(per_text(work, out, ["id"], "text"), "id long, code array<long>")
 
 
 def _links(batches: Iterable[pa.RecordBatch], words: int, bits: int, word_bits: int) -> Iterator[pa.RecordBatch]:
     """The links of a spanning forest of each unit, as pairs of nodes."""
     for table, starts in whole_runs(batches, ("bucket", "block_i", "block_j")):
         lead = table.column("lead").to_numpy().view(np.uint64)
-        codes = table.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
+        codes = table.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words) if words > 1 else lead
         nodes = table.column("node").to_numpy()
         sizes = np.diff(np.append(starts, len(lead)))
         begin = 0
@@ -122,35 +125,58 @@ def _links(batches: Iterable[pa.RecordBatch], words: int, bits: int, word_bits:
             begin = end
 
 
-def components(codes: DataFrame, words: int = 1, bits: int = BITS, word_bits: int | None = None) -> DataFrame:
-    """(code, component): for each distinct code of (id, code) the smallest id reachable through links of at most `bits` bits.
+def _leads(words: int, segments: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each bucket of a fingerprint: the word and the runs of bits (first, how many) that its number is made of."""
+    edges = [64 * k // segments for k in range(segments + 1)]
+    return [(w, [(edges[k], edges[k + 1] - edges[k]) for k in some]) for w in range(words) for some in combinations(range(segments), segments - SEGMENTS + 1)]
 
-    With one word and at most 3 bits no link is missed. With more words, pairs are compared where one of SEGMENTS
-    segments of one word agrees and that word differs in at most word_bits bits; so the closer a pair the surer it
-    is found. A code whose ids are all null has a null component.
+
+def _segments(nodes: int) -> int:
+    """Into how many segments a word is cut for so many fingerprints."""
+    for segments in range(SEGMENTS, MOST_SEGMENTS):
+        if nodes <= BLOCK << 64 * (segments - SEGMENTS + 1) // segments:
+            return segments
+    return MOST_SEGMENTS
+
+
+def components(codes: DataFrame, words: int = 1, bits: int = BITS, word_bits: int | None = None, segments: int | None = None) -> DataFrame:
+    """(code, component, rows): for each distinct code of (id, code) the smallest id reachable through links of at most `bits` bits.
+
+    With one word and at most 3 bits no link is missed. With more words, pairs are compared where, of a word cut into
+    segments, all but three agree and that word differs in at most word_bits bits; so the closer a pair the surer it
+    is found. Without a number of segments it follows from how many codes there are. A code whose ids are all null
+    has a null component; rows is how many have the code.
     """
-    width = 64 // SEGMENTS
-    nodes = written(codes.groupBy("code").agg(F.min("id").alias("node")))
-    leads = [F.shiftleft(F.element_at("code", w + 1), k * width).bitwiseOR(F.shiftrightunsigned(F.element_at("code", w + 1), 64 - k * width)) if k else F.element_at("code", w + 1) for w in range(words) for k in range(SEGMENTS)]
-    spread = nodes.where("node is not null").select("node", "code", F.posexplode(F.array(*leads)).alias("turn", "lead"))
-    spread = spread.withColumn("bucket", F.shiftrightunsigned("lead", 64 - width) * len(leads) + F.col("turn"))
-    units = in_blocks(spread, "bucket", "node", BLOCK).select("node", "code", "lead", "bucket", "block_i", "block_j")
+    nodes = written(codes.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id()))
+    cut = _leads(words, segments or (_segments(nodes.count()) if words == 1 else SEGMENTS))
+    part = lambda word, first, size: F.shiftrightunsigned(F.shiftleft(F.element_at("code", word + 1), first), 64 - size)
+    buckets = []
+    for turn, (word, runs) in enumerate(cut):
+        number = F.lit(0).cast("long")
+        for first, size in runs:
+            number = F.shiftleft(number, size).bitwiseOR(part(word, first, size))
+        buckets.append((number * len(cut) + turn, F.element_at("code", word + 1)))
+    spread = nodes.where("least is not null").select("node", "code", F.explode(F.array(*(F.struct(b.alias("bucket"), w.alias("lead")) for b, w in buckets))).alias("at")).select("node", "code", "at.*")
+    units = in_blocks(spread, "bucket", "node", BLOCK).select("node", *(["code"] if words > 1 else []), "lead", "bucket", "block_i", "block_j")
     keys = ["bucket", "block_i", "block_j"]
     own = bits if word_bits is None else word_bits
     links = units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _links(batches, words, bits, own), "u long, v long")
-    found = connected_components(links)
-    return nodes.join(found, "node", "left").select("code", F.coalesce("component", "node").alias("component"))
+    found = smallest_ids(nodes.select("node", "least"), links)
+    return nodes.join(found, "node").select("code", "component", "rows")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, words: int = 1, bits: int = BITS, word_bits: int | None = None, distinct: bool = False) -> DataFrame:
     """id_col, code (the fingerprint as signed longs) and component_id, one row for each row of df.
 
     component_id is the smallest id reachable. Texts without words, null ones too, have fingerprint 0 and are linked
-    like any other; repeated ids are repeated rows; other columns are not looked at; no rows give no rows.
+    like any other. Ids are integers; rows of one id with different texts are different texts, and rows of null id
+    are in the group that their text is in, or of a null one. Other columns are not looked at; no rows give no rows.
     """
+    kind = whole_ids(df, id_col)
     codes = written(fingerprints(df, id_col, text_col, shingle, seed, words, distinct))
     found = components(codes, words, bits, word_bits)
-    return codes.join(found, "code").select(F.col("id").alias(id_col), "code", F.col("component").alias("component_id"))
+    made = dealt_join(codes, found, ["code"], "rows")
+    return made.select(F.col("id").cast(kind).alias(id_col), "code", F.col("component").cast(kind).alias("component_id"))
 
 
 def bands(hashed: np.ndarray) -> np.ndarray:
@@ -233,7 +259,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) as id", "cast(text as binary) as text")
     sketches = written(rows.mapInArrow(per_text(sketched, out, ["id"], "text"), "id long, code array<long>, digest binary, bands array<long>"))
     codes = sketches.select("id", "code")
-    linked = codes.join(components(codes, words, SIMILAR["bits"], SIMILAR["word_bits"]), "code").select(F.col("id").alias("u"), F.col("component").alias("v"))
+    alike = components(codes, words, SIMILAR["bits"], SIMILAR["word_bits"])
+    linked = dealt_join(codes, alike, ["code"], "rows").select(F.col("id").alias("u"), F.col("component").alias("v"))
     spread = sketches.select("id", F.explode("bands").alias("band"))
     met = spread.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_met, "u long, v long")
     groups = connected_components(linked.unionByName(met))

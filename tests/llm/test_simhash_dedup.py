@@ -1,7 +1,9 @@
 import random
 import re
 
+import duckdb
 import numpy as np
+import pytest
 import xxhash
 
 from stowage.llm import simhash_dedup as S
@@ -47,7 +49,9 @@ def test_index_finds_all_close_pairs():
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
 
 
-def test_components(spark, monkeypatch):
+@pytest.mark.parametrize("segments", [None, 5, 6])
+def test_components(spark, monkeypatch, segments):
+    """In small blocks, and by segments as for very many fingerprints."""
     monkeypatch.setattr(S, "BLOCK", 50)
     rng = random.Random(5)
     centre = [rng.getrandbits(64) for _ in range(30)] + [0]
@@ -59,11 +63,38 @@ def test_components(spark, monkeypatch):
         rows.append((1000 - k, code))
     rows.append((-5, 0))
     signed = [(i, c - (1 << 64) if c >> 63 else c) for i, c in rows]
-    found = {r.code[0]: r.component for r in S.components(spark.createDataFrame([(i, [c]) for i, c in signed], "id long, code array<long>")).collect()}
+    found = {r.code[0]: r.component for r in S.components(spark.createDataFrame([(i, [c]) for i, c in signed], "id long, code array<long>"), segments=segments).collect()}
     want = brute_components([i for i, _ in rows], [c for _, c in rows])
     assert [found[c] for _, c in signed] == want
 
 
+def test_segments():
+    """Any three bits leave some bucket's bits alone, whatever the number of segments."""
+    rng = random.Random(6)
+    assert [S._segments(n) for n in (1, 10**8, 10**9, 10**10, 10**12)] == [4, 4, 5, 5, 6]
+    for segments in (4, 5, 6):
+        cuts = [{b for first, size in runs for b in range(first, first + size)} for _, runs in S._leads(1, segments)]
+        assert all(any(not cut & three for cut in cuts) for three in (set(rng.sample(range(64), 3)) for _ in range(2000)))
+
+
+def test_query_agrees_with_brute_force(spark):
+    """The whole query over whole documents, copies and documents without words among them."""
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet' order by doc_id").fetchall()
+    codes = [brute_fingerprint(t) for _, t in rows]
+    want = list(zip([i for i, _ in rows], [f"{c:016x}" for c in codes], brute_components([i for i, _ in rows], codes), strict=True))
+    made = S.op10_simhash_dedup(spark, "/root/testdata/sf0.001")
+    assert made.columns == ["doc_id", "fingerprint", "component_id"] and sorted(tuple(r) for r in made.collect()) == want
+
+
+def test_repeated_and_other_ids(spark):
+    rows = [(5, "one two three four"), (5, "quite another text is here"), (9, "one two three four"), (2, "quite another text is here")]
+    for kind in ("int", "long"):
+        got = S.near_duplicates(spark.createDataFrame(rows, f"doc_id {kind}, text string"))
+        assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(2, 2), (5, 2), (5, 5), (9, 5)] and got.schema["component_id"].dataType.simpleString() in ("int", "bigint")
+    with pytest.raises(ValueError, match="integers"):
+        S.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_edge_cases(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "One two three four", "c"), (3, "one TWO three\tfour", "d"), (None, "other words in here", "e")]
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, code string")).collect()
