@@ -4,7 +4,7 @@ A logistic model over words, word beginnings and the shape of a text gives each
 quality and of toxicity. Over all documents, that evidence is summed for each host and each path of a host; a
 host's posterior rate is shrunk towards the global rate and a path's towards its host's, the less rows it has
 the more, by strengths estimated from how much the rates differ. A document's posterior adds how far its
-path's rate is from the global one to its own evidence.
+path's rate is from the global one to its own evidence, its own row being left out of the path's and host's sums.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dealt_join, written
 from .decontaminate import words_of
 
 #: The model is fitted on at most so many labelled documents, those with the smallest hashes of their ids.
@@ -29,8 +29,6 @@ LABELLED_ROWS = 8000
 LEAST_Z = 5.0
 #: Features of a model at most, by how strongly they go with a label; and in how many documents one has to be.
 FEATURES, LEAST_DOCUMENTS = 20_000, 3
-#: How far, in log odds, a site's rate may move a document at most: a bad site alone never rejects a good document.
-SITE_LIMIT = 1.0
 #: Sites up to so many are broadcast to the documents; more are joined.
 BROADCAST_SITES = 100_000
 HEADS = ("quality", "toxic")
@@ -194,8 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(complex(*biases), {f: complex(weights[0][k], weights[1][k]) for k, f in enumerate(every) if weights[0][k] or weights[1][k]})
 
 
-def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """docs with __good and __bad, the log odds of each document's own evidence."""
+def _scored(docs: DataFrame, model: Model, text_col: str, columns: list[str]) -> DataFrame:
+    """The given columns of docs with __good and __bad, the log odds of each document's own evidence."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,11 +201,11 @@ def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
                 odds = np.array([sent.value.score(t) for t in part.column("__bytes").to_pylist()], complex)
-                kept = [c for c in part.schema.names if c != "__bytes"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(odds.real), pa.array(odds.imag)], [*kept, "__good", "__bad"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(odds.real), pa.array(odds.imag)], [*columns, "__good", "__bad"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__bytes", F.col(text_col).cast("binary")).mapInArrow(run, f"{head}, __good double, __bad double")
+    own = docs.select(*columns, F.col(text_col).cast("binary").alias("__bytes"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__bytes")
+    return own.mapInArrow(run, f"{head}, __good double, __bad double")
 
 
 def _odds(p: Column) -> Column:
@@ -224,63 +222,98 @@ def _strength(sites: DataFrame, rows: str, total: str, towards: Column) -> float
     return float(min(1e6, max(1.0, (got[1] or 0) / got[0] - 1))) if got[0] > 0 else 1e6
 
 
-def site_rates(scored: DataFrame, host: str, path: str) -> DataFrame:
-    """(host, path, good_shift, bad_shift): how far, in log odds, a path's posterior rates are from the global ones."""
+@dataclass
+class Prior:
+    """A head's global rate, and how many rows the rate of a host and of a path's host are worth."""
+
+    rate: float
+    host: float
+    path: float
+
+
+def _host_rate(prior: Prior, n: Column, total: Column) -> Column:
+    return (total + prior.host * prior.rate) / (n + prior.host)
+
+
+def _path_rate(prior: Prior, n: Column, total: Column, host_rate: Column) -> Column:
+    return (total + prior.path * host_rate) / (n + prior.path)
+
+
+def sites(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, dict[str, Prior]]:
+    """The sums of each path, (host, path, n, good, bad, host_n, host_good, host_bad), and the priors of both heads.
+
+    Both are sums of the documents' own probabilities over all rows; each has one row for a host and path, nulls too.
+    """
     p = lambda c: 1 / (1 + F.exp(-F.col(c)))
-    paths = written(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), F.sum(p("__good")).alias("good"), F.sum(p("__bad")).alias("bad")))
+    paths = written(scored.groupBy(_name(host).alias("host"), _name(path).alias("path")).agg(F.count("*").alias("n"), F.sum(p("__good")).alias("good"), F.sum(p("__bad")).alias("bad")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad"))
+    both = written(paths.join(hosts, "host"))
     whole = paths.agg(F.sum("n"), F.sum("good"), F.sum("bad")).first()
-    if not whole[0]:
-        return paths.select("host", "path", F.lit(0.0).alias("good_shift"), F.lit(0.0).alias("bad_shift"))
-    made = {}
+    priors = {}
     for head, total in (("good", whole[1]), ("bad", whole[2])):
-        rate = F.lit(min(1 - 1e-6, max(1e-6, total / whole[0])))
-        k = _strength(hosts, "host_n", f"host_{head}", rate)
-        hosts = hosts.withColumn(f"host_{head}_rate", (F.col(f"host_{head}") + k * rate) / (F.col("host_n") + k))
-        made[head] = rate
-    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
-    for head, rate in made.items():
-        towards = F.col(f"host_{head}_rate")
-        k = _strength(both, "n", head, towards)
-        posterior = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), (F.col(head) + k * towards) / (F.col("n") + k)))
-        both = both.withColumn(f"{head}_shift", F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), _odds(posterior) - _odds(rate))))
-    return both.select("host", "path", "good_shift", "bad_shift")
-
-
-def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """docs with p_quality, p_toxic (posteriors) and kept, which is false for poor or toxic documents.
+        rate = min(1 - 1e-6, max(1e-6, total / whole[0])) if whole[0] else 0.5
+        first = Prior(rate, _strength(hosts, "host_n", f"host_{head}", F.lit(rate)), 1.0)
+        towards = _host_rate(first, F.col("host_n"), F.col(f"host_{head}"))
+        priors[head] = Prior(rate, first.host, _strength(both, "n", head, towards))
+    return both, priors
+
+
+def _name(column: str) -> Column:
+    """A host or path as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def _posterior(prior: Prior, head: str) -> Column:
+    """A document's probability, from its own log odds and what its path and host are without it."""
+    odds = F.col(f"__{head}")
+    own = 1 / (1 + F.exp(-odds))
+    host_rate = _host_rate(prior, F.col("__host_n") - 1, F.col(f"__host_{head}") - own)
+    rate = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), _path_rate(prior, F.col("__n") - 1, F.col(f"__path_{head}") - own, host_rate)))
+    return 1 / (1 + F.exp(-(odds + _odds(rate) - math.log(prior.rate / (1 - prior.rate)))))
+
+
+def judged(scored: DataFrame, host: str, path: str) -> DataFrame:
+    """scored, with __good and __bad, and its __p_quality, __p_toxic and __kept beside them."""
+    found, priors = sites(scored, host, path)
+    names = {"host": "__host", "path": "__path", "n": "__n", "good": "__path_good", "bad": "__path_bad", "host_n": "__host_n", "host_good": "__host_good", "host_bad": "__host_bad"}
+    found = found.select(*(F.col(a).alias(b) for a, b in names.items()), F.col("n").alias("__rows"))
+    keyed = scored.withColumns({"__host": _name(host), "__path": _name(path)})
+    if found.count() <= BROADCAST_SITES:
+        joined = keyed.join(F.broadcast(found.drop("__rows")), ["__host", "__path"], "left")
+    else:
+        joined = dealt_join(keyed, found, ["__host", "__path"], "__rows")
+    made = joined.select(*scored.columns, _posterior(priors["good"], "good").alias("__p_quality"), _posterior(priors["bad"], "bad").alias("__p_toxic"))
+    return made.withColumn("__kept", (F.col("__p_quality") >= 0.5) & (F.col("__p_toxic") <= 0.5))
+
+
+def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", columns: list[str] | None = None) -> DataFrame:
+    """docs, or the given ones of its columns, with p_quality, p_toxic (posteriors) and kept, which is false for poor or toxic documents.
 
     One row for each row of docs. A null host or path is a value like any other; a null text is an empty one and has
-    the evidence of its shape. Columns that docs has of these three names are replaced.
+    the evidence of its shape. Columns that docs has of these three names are replaced. No rows give no rows.
     """
     names = {"__p_quality": "p_quality", "__p_toxic": "p_toxic", "__kept": "kept"}
-    made = _judged(docs, labels, id_col, text_col, host, path)
-    return made.select(*[c for c in docs.columns if c not in names.values()], *[F.col(a).alias(b) for a, b in names.items()])
+    own = [c for c in columns or docs.columns if c not in names.values()]
+    made = _judged(docs, labels, id_col, text_col, host, path, own)
+    return made.select(*own, *[F.col(a).alias(b) for a, b in names.items()])
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: str, path: str) -> DataFrame:
-    """docs with __p_quality, __p_toxic and __kept."""
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: str, path: str, columns: list[str]) -> DataFrame:
+    """The given columns of docs with __p_quality, __p_toxic and __kept. Texts are scored once, and what that gives is written."""
     model = fit(docs, labels, id_col, text_col)
-    own = docs.select(host, path, text_col) if host != path else docs.select(host, text_col)
-    sites = written(site_rates(_scored(own, model, text_col).select(host, path, "__good", "__bad"), host, path))
-    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("good_shift").alias("__good_shift"), F.col("bad_shift").alias("__bad_shift"))
-    if sites.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    scored = _scored(docs, model, text_col)
-    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
-    good, bad = (1 / (1 + F.exp(-(F.col(a) + F.coalesce(b, F.lit(0.0))))) for a, b in (("__good", "__good_shift"), ("__bad", "__bad_shift")))
-    return joined.select(*docs.columns, good.alias("__p_quality"), bad.alias("__p_toxic")).withColumn("__kept", (F.col("__p_quality") >= 0.5) & (F.col("__p_toxic") <= 0.5))
+    needed = [c for c in docs.columns if c in {*columns, host, path}]
+    return judged(written(_scored(docs, model, text_col, needed)), host, path)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are kept, with the columns they came with."""
-    return _judged(docs, labels, "doc_id", "text", "source", "lang").where("__kept").select(*docs.columns)
+    return _judged(docs, labels, "doc_id", "text", "source", "lang", docs.columns).where("__kept").select(*docs.columns)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents classified."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    return classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    return classified(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=["doc_id", "source", "lang"])
 
 
 def registered() -> Iterator[tuple]:

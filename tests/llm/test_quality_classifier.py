@@ -1,5 +1,7 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stowage.llm import quality_classifier as Q
@@ -39,13 +41,63 @@ def test_held_out_accuracy(spark):
     assert sum(not kept[k] for k in bad) >= 0.95 * len(bad)
 
 
-def test_rates_are_shrunk(spark, monkeypatch):
-    monkeypatch.setattr(Q, "SITE_LIMIT", 50.0)
-    rows = [("a", "p", 4.0)] * 400 + [("b", "p", -4.0)] * 400 + [("c", "p", -4.0)] + [(None, None, 0.0)] * 2
-    scored = spark.createDataFrame([(h, p, z, z) for h, p, z in rows], "source string, lang string, __good double, __bad double")
-    shift = {r.host: r.good_shift for r in Q.site_rates(scored, "source", "lang").collect()}
-    assert shift["a"] > 0 > shift["b"] and shift["b"] < shift["c"] and all(abs(x) <= Q.SITE_LIMIT for x in shift.values())
-    assert abs(shift[None]) < 0.5
+def brute_posteriors(rows):
+    """(p_good, p_bad) of (host, path, good, bad) rows, in plain loops."""
+    p = lambda z: 1 / (1 + math.exp(-z))
+
+    def strength(groups, towards):
+        """groups: (n, total); towards: the rate each is pulled to."""
+        weight = sum(n for n, _ in groups)
+        spread = sum(n * ((t / n - r) ** 2 - r * (1 - r) / n) for (n, t), r in zip(groups, towards, strict=True)) / weight
+        noise = sum(n * r * (1 - r) for (n, _), r in zip(groups, towards, strict=True)) / weight
+        return min(1e6, max(1.0, noise / spread - 1)) if spread > 0 else 1e6
+
+    out = []
+    for z in (2, 3):
+        hosts, paths = {}, {}
+        for r in rows:
+            for group, key in ((hosts, r[0]), (paths, r[:2])):
+                n, t = group.get(key, (0, 0.0))
+                group[key] = (n + 1, t + p(r[z]))
+        rate = sum(t for _, t in hosts.values()) / len(rows)
+        kh = strength(list(hosts.values()), [rate] * len(hosts))
+        kp = strength(list(paths.values()), [(hosts[h][1] + kh * rate) / (hosts[h][0] + kh) for h, _ in paths])
+        made = []
+        for r in rows:
+            own, (hn, ht), (pn, pt) = p(r[z]), hosts[r[0]], paths[r[:2]]
+            host = (ht - own + kh * rate) / (hn - 1 + kh)
+            site = min(1 - 1e-6, max(1e-6, (pt - own + kp * host) / (pn - 1 + kp)))
+            made.append(p(r[z] + math.log(site / (1 - site)) - math.log(rate / (1 - rate))))
+        out.append(made)
+    return list(zip(*out, strict=True))
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_posteriors_agree_with_brute_force(spark, monkeypatch, joined):
+    """Of all rows, on hosts and paths of very different sizes, nulls and single rows among them."""
+    if joined:
+        monkeypatch.setattr(Q, "BROADCAST_SITES", 0)
+    rng = random.Random(2)
+    rows = []
+    for k in range(1500):
+        host = rng.choice(["big"] * 6 + ["mixed", "bad", None, f"rare{k}"])
+        path = rng.choice(["a", "b", None])
+        bad = rng.random() < (0.9 if host == "bad" else 0.5 if (host, path) == ("mixed", "a") else 0.05)
+        rows.append((host, path, rng.gauss(3, 2), rng.gauss(3 if bad else -4, 1.5)))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, source string, lang string, __good double, __bad double")
+    made = {r.k: r for r in Q.judged(df, "source", "lang").collect()}
+    for k, (good, bad) in enumerate(brute_posteriors(rows)):
+        assert abs(made[k]["__p_quality"] - good) < 1e-9 and abs(made[k]["__p_toxic"] - bad) < 1e-9
+        assert made[k]["__kept"] == (good >= 0.5 and bad <= 0.5)
+
+
+def test_sparse_sites_are_shrunk(spark):
+    """The same evidence is worth more on a site with much like it, and a row does not speak for itself."""
+    rows = [("a", "p", 4.0)] * 400 + [("b", "p", -4.0)] * 400 + [("c", "p", -4.0)] * 2 + [("d", "p", 0.5)] + [("a", "p", 0.5), ("b", "p", 0.5), ("c", "p", 0.5)]
+    df = spark.createDataFrame([(k, h, p, z, z) for k, (h, p, z) in enumerate(rows)], "k int, source string, lang string, __good double, __bad double")
+    got = {r.k: r["__p_quality"] for r in Q.judged(df, "source", "lang").collect()}
+    alone, a, b, c = got[802], got[803], got[804], got[805]
+    assert b < c < alone < a and abs(alone - 1 / (1 + math.exp(-0.5))) < 1e-9
 
 
 def test_edges(spark):
