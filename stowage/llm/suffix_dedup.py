@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ CHUNK = 1 << 20
 #: Texts whose anchors are compared before they are sent.
 TEXTS = 2048
 #: Contexts of one anchor that stay together; those of an anchor with more are split by content.
-CONTEXTS = 2048
+CONTEXTS = 8192
 #: An anchor with more than one in so many of all is dealt to several tasks when anchors are counted; a sample tells which.
 HOT_ANCHORS, SAMPLED = 2000, 0.02
 
@@ -140,7 +141,8 @@ def _unpacked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x >> 16, (x >> 8) & 255, x & 255
 
 
-_SEEN = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("settled", pa.bool_())])
+#: key and place are null for a span that is settled, start and end for an anchor.
+_SEEN = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _anchored(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -162,9 +164,29 @@ def _anchored(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         ends = last + length
         spans = zip(*(x[y[maybe]].tolist() for y in (a, b) for x in (which, first, ends)), strict=True)
         settled[maybe + 1] = [texts[t][i:j] == texts[u][k:n] for t, i, j, u, k, n in spans]
-        for at in range(0, len(order), 65536):
-            part = order[at : at + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[part], doc[part], place[part], settled[at : at + 65536])], schema=_SEEN)
+        done, left = order[settled], order[~settled]
+        spans = _united(doc[done], first[done], ends[done])
+        none = pa.nulls
+        for at in range(0, len(left), 65536):
+            part = left[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (key, doc, place)), none(len(part), pa.int64()), none(len(part), pa.int64())], schema=_SEEN)
+        n = len(spans[0])
+        yield pa.RecordBatch.from_arrays([none(n, pa.int64()), pa.array(spans[0]), none(n, pa.int64()), *map(pa.array, spans[1:])], schema=_SEEN)
+
+
+def _united(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of equal width or of one text in a row, each document's united where they overlap or touch."""
+    order = np.lexsort((ends, starts, docs))
+    docs, starts, ends = docs[order], starts[order], ends[order]
+    if not len(docs):
+        return docs, starts, ends
+    # the furthest end so far of each document: ends are raised by document, so that a running maximum starts anew with each
+    number = np.cumsum(np.append(0, docs[1:] != docs[:-1])) * (int(ends.max()) + 1)
+    furthest = np.maximum.accumulate(ends + number) - number
+    head = np.ones(len(docs), bool)
+    head[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > furthest[:-1])
+    at = np.flatnonzero(head)
+    return docs[at], starts[at], furthest[np.append(at[1:], len(docs)) - 1]
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +230,8 @@ def by_columns(group: np.ndarray, columns: Iterable[np.ndarray]) -> Iterator[tup
         joined[1:] = (own[1:] == own[:-1]) & (of[1:] == of[:-1])
         # two that become neighbours had others in between; they share the least that neighbours on the way shared
         padded, fresh = np.append(common, 0), np.zeros(n, np.int64)
-        for symbol in np.unique(own[joined]):
-            at = np.flatnonzero(joined & (own == symbol))
+        at = np.flatnonzero(joined)
+        if len(at):
             ways = np.empty(2 * len(at), np.int64)
             ways[0::2], ways[1::2] = moved[at - 1] + 1, moved[at] + 1
             fresh[at] = np.minimum.reduceat(padded, ways)[0::2] + 1
@@ -258,14 +280,7 @@ def _sorted(batches: Iterable[pa.RecordBatch], length: int, piece: int) -> Itera
                 again = rows[has & (ranks > np.repeat(first, np.diff(np.append(heads, n))))]
                 out.append((doc[again], anchor[again] - before))
         docs, begins = (np.concatenate(x) for x in zip(*out, strict=True))
-        # strings that start one after another make one span
-        order = np.lexsort((begins, docs))
-        docs, begins = docs[order], begins[order]
-        head = np.ones(len(docs), bool)
-        head[1:] = (docs[1:] != docs[:-1]) | (begins[1:] > begins[:-1] + length)
-        at = np.flatnonzero(head)
-        ends = begins[np.append(at[1:], len(docs))[: len(at)] - 1] + length
-        yield pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(begins[at]), pa.array(ends)], schema=_SPAN)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _united(docs, begins, begins + length)], schema=_SPAN)
 
 
 def _pressed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +350,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) ->
     whole = lambda df: df.select("doc", (anchor - far).alias("start"), (anchor - near + length).alias("end"))
 
     own = docs.where("doc is not null")
-    seen = written(own.mapInArrow(lambda b: _anchored(b, length), f"key long, {spark_type}, settled boolean"))
-    spans = whole(seen.where("settled"))
-    open_ = seen.where("not settled").select("key", "doc", "place")
+    seen = written(own.mapInArrow(lambda b: _anchored(b, length), f"key long, {spark_type}, start long, end long"))
+    spans = seen.where("key is null").select("doc", "start", "end")
+    open_ = seen.where("key is not null").select("key", "doc", "place")
     # an anchor that very many contexts have is shared for certain, so these need not meet to be found
     often = open_.sample(SAMPLED, seed=1).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     total = open_.count()
@@ -350,7 +365,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) ->
     pressed = own.mapInArrow(_pressed, "doc long, text binary")
     kind = "key long, low int, high int, doc long, place long, bytes binary"
     contexts = written(pressed.join(found, "doc").mapInArrow(lambda b: _contexts(b, length, piece), kind))
-    while True:
+    for halvings in count():
         counts = written(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXTS).select("key"))
         many = counts.count()
         small = F.broadcast(counts) if many <= BROADCAST_ROWS else counts
@@ -359,11 +374,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) ->
         if not many:
             return spans
         hot = contexts.join(small, "key", "left_semi")
-        # where the anchor is the whole string there is nothing to sort; the first of each is found with partial minima
-        single = hot.where("low = high")
-        least = written(single.groupBy("bytes").agg(F.min(F.struct("doc", "place")).alias("at")))
-        least = F.broadcast(least) if least.count() <= BROADCAST_ROWS // 10 else least
-        spans = spans.unionByName(whole(single.join(least, "bytes").where(F.struct("doc", "place") > F.col("at"))))
+        if halvings >= int(np.log2(length - piece + 1)):
+            # where the anchor is the whole string there is nothing to sort; the first of each is found with partial minima
+            single = hot.where("low = high")
+            least = written(single.groupBy("bytes").agg(F.min(F.struct("doc", "place")).alias("at")))
+            least = F.broadcast(least) if least.count() <= BROADCAST_ROWS // 10 else least
+            spans = spans.unionByName(whole(single.join(least, "bytes").where(F.struct("doc", "place") > F.col("at"))))
         halves = written(hot.where("low < high").mapInArrow(lambda b: _halved(b, length), f"{kind}, settled boolean"))
         spans = spans.unionByName(whole(halves.where("settled")))
         left = halves.where("not settled").drop("settled")

@@ -85,19 +85,20 @@ def test_equal_hashes_are_compared(monkeypatch):
 
     monkeypatch.setattr(S, "anchors", colliding)
     batch = S.pa.RecordBatch.from_arrays([S.pa.array(range(22)), S.pa.array(texts, S.pa.binary())], ["doc", "text"])
-    for made in S._anchored([batch], 100):
-        rows = made.to_pylist()
-        kept = {}
-        for r in rows:
+    rows = [r for made in S._anchored([batch], 100) for r in made.to_pylist()]
+    kept = set()
+    for r in rows:
+        if r["key"] is not None:
             anchor, far, near = S._unpacked(r["place"])
-            own = (r["key"], texts[r["doc"]][anchor - far : anchor - near + 100])
-            if not r["settled"]:
-                kept.setdefault(own, []).append(r["doc"])
-        settled = [r for r in rows if r["settled"]]
-        assert settled and all(len(x) >= 1 for x in kept.values())
-        for r in settled:
-            anchor, far, near = S._unpacked(r["place"])
-            assert any(k[1] == texts[r["doc"]][anchor - far : anchor - near + 100] for k in kept)
+            kept.update(texts[r["doc"]][k : k + 100] for k in range(anchor - far, anchor - near + 1))
+    spans = [r for r in rows if r["key"] is None]
+    assert spans and kept == {t[k : k + 100] for t in texts for k in range(len(t) - 99)}
+    assert all(texts[r["doc"]][r["start"] : r["end"]] in tail.encode() for r in spans)
+
+
+def test_united_spans():
+    docs, starts, ends = (S.np.array(x) for x in ([2, 1, 1, 2, 1, 1], [5, 0, 50, 105, 120, 10], [105, 100, 60, 205, 220, 20]))
+    assert [x.tolist() for x in S._united(docs, starts, ends)] == [[1, 1, 2], [0, 120, 5], [100, 220, 205]]
 
 
 def test_hot_passage(spark, monkeypatch):
