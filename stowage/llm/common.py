@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A list of hot buckets of up to so many rows, 16 bytes each, is broadcast; a longer one is joined.
 BROADCAST_ROWS = 200_000
+#: Links up to so many, 16 bytes each, are followed in one task; more of them in rounds.
+LOCAL_LINKS = 1 << 20
 #: A key with more than one in so many of all rows is dealt to several tasks.
 HOT = 1000
 
@@ -62,22 +64,25 @@ def bytes_of(df: DataFrame, *columns: str) -> int:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u long, v long); component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each is a grouped minimum and a join on the node, so no
-    component is ever gathered in one task. Every round is a table in the scratch folder. Loops, repeated
-    and reversed edges are allowed; nulls are dropped; no edges give no rows.
+    Alternating large-star and small-star rounds; each is a grouped minimum and a join on the node, a node of very
+    many links being dealt to several tasks, so no component is ever gathered in one. Every round is a table in the
+    scratch folder. A number of links that is small whatever they link is followed in one task instead. Loops,
+    repeated and reversed edges are allowed; nulls are dropped; no edges give no rows.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = written(pairs)
+    if now.count() <= LOCAL_LINKS:
+        return now.coalesce(1).mapInArrow(_followed, "node long, component long")
+    least_of = lambda df, m: df.groupBy("u").agg(m.alias("m"), F.count("*").alias("n"))
     sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = sign(now)
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = written(dealt_join(both, written(least_of(both, F.least(F.min("v"), F.first("u")))), ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = dealt_join(large, written(least_of(large, F.min("v"))), ["u"], "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = written(small.distinct())
         dropped(now)
+        dropped(large)
         now, sign_now = after, sign(after)
         if sign_now == before:
             break
@@ -86,11 +91,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _followed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = [np.concatenate([b.column(k).to_numpy() for b in batch]) for batch in [list(batches)] for k in (0, 1) if batch]
+    if links and len(links[0]):
+        nodes, places = np.unique(np.concatenate(links), return_inverse=True)
+        label = forest(len(nodes), *np.split(places, 2))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)]), pa.array(nodes[label[at : at + (1 << 16)]])], ["node", "component"])
+
+
 def smallest_ids(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) for each of nodes (node long, least long): the smallest `least` of all nodes that links (u, v) lead to."""
     groups = connected_components(links)
-    least = groups.join(nodes, "node").groupBy("component").agg(F.min("least").alias("__of"))
-    found = groups.join(least, "component").select("node", "__of")
+    least = groups.join(nodes, "node").groupBy("component").agg(F.min("least").alias("__of"), F.count("*").alias("__size"))
+    found = dealt_join(groups, written(least), ["component"], "__size").select("node", "__of")
     return nodes.join(found, "node", "left").select("node", F.coalesce("__of", "least").alias("component"))
 
 
@@ -110,7 +124,10 @@ def in_blocks(df: DataFrame, bucket: str, key: str, rows: int) -> DataFrame:
     bucket meet in some unit and no unit grows with the bucket.
     """
     hot = written(df.groupBy(bucket).agg(F.count("*").alias("__n")).where(F.col("__n") > rows))
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    many = hot.count()
+    if not many:
+        return df.withColumns({name: F.lit(0) for name in ("block", "block_i", "block_j")})
+    hot = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
     blocks = F.ceil(F.coalesce("__n", F.lit(1)) / F.lit(rows)).cast("int")
     dealt = df.join(hot, bucket, "left").withColumn("__blocks", blocks).withColumn("__own", F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.col("__blocks")).cast("int"))
     others = F.when(F.col("__blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda x: x != F.col("__own")))
@@ -126,6 +143,8 @@ def dealt_join(df: DataFrame, small: DataFrame, keys: list[str], rows: str) -> D
     """
     total = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
     hot = written(small.where(F.col(rows) * HOT > total).select(*keys, F.ceil(F.col(rows) * HOT / F.lit(max(1, total))).cast("int").alias("__hot_turns")))
+    if not hot.head(1):
+        return df.join(small.drop(rows), keys, "left")
     own = df.join(F.broadcast(hot), keys, "left").withColumn("__hot_turn", F.coalesce(F.floor(F.rand(7) * F.col("__hot_turns")).cast("int"), F.lit(0))).drop("__hot_turns")
     turns = F.explode(F.sequence(F.lit(0), F.coalesce("__hot_turns", F.lit(1)) - 1))
     other = small.drop(rows).join(F.broadcast(hot), keys, "left").withColumn("__hot_turn", turns).drop("__hot_turns")

@@ -242,7 +242,7 @@ def by_columns(group: np.ndarray, columns: Iterable[np.ndarray]) -> Iterator[tup
 def _sorted(batches: Iterable[pa.RecordBatch], length: int, piece: int) -> Iterator[pa.RecordBatch]:
     """Of contexts sorted by key: the spans of strings that an earlier context has."""
     reach = length - piece
-    for table, starts in whole_runs(batches, ("key",), 32768):
+    for table, starts in whole_runs(batches, ("key",), 16384):
         doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy()
         n = len(doc)
         anchor, far, near = _unpacked(place)
