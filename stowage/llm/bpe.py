@@ -156,10 +156,12 @@ def encoded(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
 
     ids_sha256 is of the ids as little-endian 32-bit integers, decoded_sha256 of the UTF-8 of the decoded text. A null
     text is an empty one and has no ids. Special tokens' strings in a text become these tokens, as the tokenizers
-    library has it, and are decoded like others. Repeated ids stay; no rows give no rows.
+    library has it, and are decoded like others. Repeated ids stay; no rows give no rows. A column in keep that has
+    the name of one that is made, or of id_col, is left out.
     """
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids", "ids_sha256", "decoded_sha256", id_col))
     name = shipped(df.sparkSession, vocabulary)
-    source = df.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("binary").alias("__bytes"))
+    source = df.select(F.col(id_col).alias("__id"), *keep, F.col(text_col).cast("binary").alias("__bytes"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = from_file(SparkFiles.get(name))
@@ -178,7 +180,7 @@ def encoded(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__bytes")
     made = source.mapInArrow(run, f"{head}, n_tokens long{', ids array<int>' if ids else ''}, ids_sha256 string, decoded_sha256 string")
-    return made.withColumnRenamed("id", id_col)
+    return made.withColumnRenamed("__id", id_col)
 
 
 def vocabulary_path() -> str:

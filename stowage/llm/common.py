@@ -39,8 +39,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the scratch folder: its lineage ends there and a lost executor loses nothing."""
+    """df as a Parquet table in the scratch folder: its lineage ends there and a lost executor loses nothing.
+
+    The table is deleted when the application ends, as results may read it until then.
+    """
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/stowage-{uuid.uuid4().hex}"
+    place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .automaton import Automaton, compiled, longest, parse, reverse, scan
 from .common import per_text
@@ -94,23 +95,24 @@ def spans_of(texts: list[bytes | None], rules: tuple[Rule, ...] = RULES) -> list
 def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """id_col and spans, an array of structs (kind, start, end) in code points, end exclusive, by start, then rule.
 
-    One row for each row of df, in whole texts of any length; a null or empty text has no spans. Repeated ids are
-    repeated rows. Other columns are not looked at.
+    One row for each row of df, in whole texts of any length; a null or empty text has no spans. Ids of any type and
+    null ones are passed on, repeated ids are repeated rows. Other columns are not looked at; no rows give no rows.
     """
     only = df.select(id_col, text_col)
     names = [r.kind for r in rules]
-    out = pa.schema([pa.field("id", pa.int64()), pa.field("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
+    kind = only.schema[id_col].dataType
+    out = pa.schema([pa.field("id", to_arrow_type(kind)), pa.field("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
 
     def work(texts: list[bytes | None]) -> dict[str, list]:
         return {"spans": [[{"kind": names[k], "start": a, "end": b} for a, b, k in found] for found in spans_of(texts, rules)]}
 
-    made = only.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as binary) as text").mapInArrow(per_text(work, out, ["id"], "text", 4096), "id long, spans array<struct<kind:string,start:long,end:long>>")
+    made = only.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as binary) as text").mapInArrow(per_text(work, out, ["id"], "text", 4096), f"id {kind.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
     return made.withColumnRenamed("id", id_col)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as id", "cast(text as binary) as text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as long) as id", "cast(text as binary) as text")
     base = {r.kind for r in BASE}
     out = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_assign", "n_access", "n_hex")] + [("base_sha256", pa.string()), ("spans", pa.string())])
 

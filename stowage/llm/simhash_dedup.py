@@ -265,7 +265,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     met = spread.repartition("band").sortWithinPartitions("band", "id").mapInArrow(_met, "u long, v long")
     groups = connected_components(linked.unionByName(met))
     members = written(sketches.select("id", "digest").join(groups.withColumnRenamed("node", "id"), "id"))
-    distinct = members.groupBy("component", "digest").agg(F.min("id").alias("node"))
+    distinct = written(members.groupBy("component", "digest").agg(F.min("id").alias("node"), F.count("*").alias("rows")))
     several = distinct.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     nodes = distinct.join(several, "component").select("component", "node").distinct()
     kept = pa.schema([("component", pa.int64()), ("node", pa.int64()), ("grams", pa.binary())])
@@ -274,7 +274,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keys = ["component", "block_i", "block_j"]
     units = in_blocks(sets, "component", "node", SET_BLOCK).select(*keys, "node", "grams")
     found = connected_components(units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified, "u long, v long"))
-    own = members.join(distinct, ["component", "digest"]).select("id", "node")
+    own = dealt_join(members, distinct, ["component", "digest"], "rows").select("id", "node")
     return own.join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
 
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from stowage.llm.secret_scan import BASE, _machines, spans_of
+from stowage.llm.secret_scan import BASE, _machines, op9_secret_scan, secrets, spans_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
@@ -24,8 +24,25 @@ def test_spans_agree_with_regular_expressions():
 
 def test_added_rules_leave_base_spans_alone():
     text = b"-----BEGIN RSA PRIVATE KEY----- token=ghp_" + b"a1" * 20
-    kinds = [k for _, _, k in spans_of([text])[0]]
-    assert kinds == [3, 0, 2, 4] or kinds == [3, 0, 4, 2] or kinds == [3, 0, 4]
+    spans = spans_of([text])[0]
+    assert [s for s in spans if s[2] < len(BASE)] == brute(text.decode())
+    assert [(text[a:b].decode()[:10], k) for a, b, k in spans if k >= len(BASE)] == [("-----BEGIN", 3), ("ghp_a1a1a1", 4)]
+
+
+def test_tables(spark, tmp_path):
+    """Nulls, repeated rows, ids of other types, columns with the operator's names, empty tables."""
+    found = "token=abcdefgh é " + "0" * 40
+    rows = [("a", found, 1), ("a", found, 1), (None, found, 2), ("b", None, 3), ("c", "", 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, spans int").selectExpr("*", "1 as id", "'x' as kind")
+    made = secrets(df)
+    got = sorted(((r.doc_id or "", [tuple(s) for s in r.spans]) for r in made.collect()))
+    spans = [("assign", 0, 14), ("hex", 17, 57)]
+    assert made.columns == ["doc_id", "spans"] and got == [("", spans), ("a", spans), ("a", spans), ("b", []), ("c", [])]
+    assert secrets(df.limit(0)).count() == 0
+    for kind in ("int", "long"):
+        folder = f"{tmp_path}/{kind}"
+        spark.createDataFrame([(1, found), (1, found), (2, None)], f"doc_id {kind}, text string").write.parquet(f"{folder}/documents.parquet")
+        assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in op9_secret_scan(spark, folder).collect()) == [(1, 1, 0, 1), (1, 1, 0, 1), (2, 0, 0, 0)]
 
 
 def test_automaton_is_small():
