@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order_by: str, to: str = "row", start: int = 0) -> DataFrame:
-    """df with consecutive numbers in an order, without one task for all rows.
+def numbered(df: DataFrame, order_by: str | list[Column], to: str = "row", start: int = 0) -> DataFrame:
+    """df with consecutive numbers in an order, by one column or several, without one task for all rows.
 
     Rows are dealt into ranges of the order. Their places within a range and the ranges' sizes, one row for each range,
-    give the numbers. order_by must not have ties, or their order is any. The ranges are a written table, so a
+    give the numbers. The order of ties is any. The ranges are a written table, so a
     task that runs again cannot deal them otherwise.
     """
     from ..sources.tables import written
 
-    placed = written(df.repartitionByRange(F.col(order_by)).sortWithinPartitions(order_by).withColumn("__place", F.monotonically_increasing_id()))
+    order = [F.col(order_by)] if isinstance(order_by, str) else order_by
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
     part = F.shiftright("__place", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
     ahead = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))

@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -29,6 +29,7 @@ from ..operators.batching import numbered
 from ..operators.packing import MAX_BIN_SIZE, compaction
 from ..schemas import check_modality, index_schema, normalised
 from .ranges import decode, fetch
+from .tables import written
 
 INDEX = "metadata.parquet"
 
@@ -110,9 +111,11 @@ class Archive:
         """One more than the largest number of a bin."""
         return self.index().agg(F.coalesce(F.max("bin_index") + 1, F.lit(0))).first()[0] if self.exists() else 0
 
-    def append(self, df: DataFrame, item: str = "item", id_col: str | None = "id", order_by: str | None = None, keep: Iterable[str] = (), allow_duplicate_ids: bool = False, skip_errors: bool = False, reshard: bool = False, partitions: int | None = None, **options) -> DataFrame:
+    def append(self, df: DataFrame, item: str = "item", id_col: str | None = "id", order_by: str | None = None, keep: Iterable[str] = (), allow_duplicate_ids: bool = False, skip_errors: bool = False, reshard: bool = False, partitions: int | None = None, progress: Observation | None = None, **options) -> DataFrame:
         """Encode and store the items of df; the rows (id, error) that were left out.
 
+        progress is told how many items were read (items), whether they fail or not.
+
         Ids twice in df are an error before anything is written. Ids that the archive has are left out with a warning,
         unless allowed. Without id_col ids are name_0, name_1, ... from the archive's length on, in order of order_by,
         which has to be given then. Items are encoded and packed by partition, in order of order_by if there is one;
@@ -138,6 +141,8 @@ class Archive:
             df = df.repartition(partitions, "id") if order_by is None else df.repartitionByRange(partitions, order_by)
         if order_by:
             df = df.sortWithinPartitions(order_by)
+        if progress is not None:
+            df = df.observe(progress, F.count(F.lit(1)).alias("items"))
         scratch = os.path.join(self.path, f"_temporary-{uuid.uuid4().hex}")
         os.makedirs(scratch)
         try:
@@ -205,11 +210,11 @@ class Archive:
                 placed.append((task["task"], k, number, f"{scratch}/bin-{task['task']}-{k}.bin", size))
                 number += 1
         failed = [f"{scratch}/failed-{t['task']}.parquet" for t in tasks if t["failed"]]
-        rows = self.spark.createDataFrame(pq.read_table(failed)).orderBy("id").collect() if failed else []
-        if rows:
-            shown = ", ".join(f"{r.id} ({r.error})" for r in rows[:5])
-            warnings.warn(f"{len(rows)} items could not be encoded and are left out: {shown}", SkippedItemsWarning, stacklevel=4)
-        left = self.spark.createDataFrame(rows, "id string, error string")
+        left = self.spark.createDataFrame([], "id string, error string")
+        if failed:  # any number of rows, so a table that outlives the append's own folder; some are shown
+            left = written(self.spark.read.schema(left.schema).parquet(*failed))
+            shown = ", ".join(f"{r.id} ({r.error})" for r in left.orderBy("id").limit(5).collect())
+            warnings.warn(f"{left.count()} items could not be encoded and are left out: {shown}", SkippedItemsWarning, stacklevel=4)
         if not placed:
             return left
         numbers = self.spark.createDataFrame([(t, k, n) for t, k, n, *_ in placed], "__task string, __k long, __bin long")
@@ -318,5 +323,5 @@ def ordinal_ids(df: DataFrame, name: str, order_by: str, start: int = 0) -> Data
 
 
 def row_at(index: DataFrame, ordinal: int, order_by: str) -> DataFrame:
-    """The row at a place, from 0, in an order."""
-    return index.withColumn("__row", F.row_number().over(Window.orderBy(order_by))).where(F.col("__row") == ordinal + 1).drop("__row")
+    """The row at a place, from 0, in an order; no row beyond the last."""
+    return numbered(index, order_by, "__row").where(F.col("__row") == ordinal).drop("__row")

@@ -174,6 +174,15 @@ def test_packed_frame(spark):
     assert [(r.bin_index, r.start_byte) for r in rows] == [(k // 9, k % 9 * 10) for k in range(100)]
 
 
+def test_packed_frame_with_ties_and_nulls(spark):
+    """Every row comes out once; equal orders by size, then by the other columns, nulls first, a null size is 0."""
+    rows = [(1, 30, "b"), (1, 30, "a"), (1, 10, "c"), (None, 5, "d"), (None, None, "e"), (2, 60, "f"), (2, 60, "f")]
+    made = packed(spark.createDataFrame(rows, "k long, size long, name string"), "size", "k", 70).collect()
+    got = sorted((r.bin_index, r.start_byte, r.end_byte, r.name) for r in made)
+    assert got == [(0, 0, 0, "e"), (0, 0, 5, "d"), (0, 5, 15, "c"), (0, 15, 45, "a"), (1, 0, 30, "b"), (2, 0, 60, "f"), (3, 0, 60, "f")]
+    assert packed(spark.createDataFrame([], "k long, size long"), "size", "k", 70).count() == 0
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(k, [float(k)] * (k % 4), f"x{k}") for k in range(11)], "k long, v array<float>, t string")
     assert sorted((r.k, r.row) for r in numbered(df, "k", start=5).collect()) == [(k, k + 5) for k in range(11)]
