@@ -13,7 +13,6 @@ BLOCK = 4096
 SIZES = {1: 192, **{k: 576 << (k - 2) for k in range(2, 6)}, **{k: 256 << (k - 8) for k in range(8, 16)}}
 RATES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000, 8: 32000, 9: 44100, 10: 48000, 11: 96000}
 WIDTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
-FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
 
 def _crc_table(width: int, polynomial: int) -> list[int]:
@@ -68,25 +67,59 @@ class _Bits:
         return zeros
 
 
-def _residual(bits: _Bits, size: int, order: int) -> list[int]:
+def _rice(bits: _Bits, n: int, rice: int) -> np.ndarray:
+    """n Rice codes: where each ends is found along a table of the next one bit, the values all at once."""
+    room = n * (rice + 4) + 64
+    while True:
+        first = bits.at >> 3
+        raw = bits.raw[first : first + (room >> 3) + 16]
+        plain = np.unpackbits(np.frombuffer(raw, np.uint8))
+        places = np.where(plain == 1, np.arange(len(plain)), len(plain))
+        following = np.minimum.accumulate(places[::-1])[::-1].tolist()
+        begin = at = bits.at & 7
+        ends = []
+        while len(ends) < n and at < len(following) and following[at] + rice < len(plain):
+            ends.append(following[at])
+            at = ends[-1] + 1 + rice
+        if len(ends) == n:
+            break
+        if first + len(raw) >= len(bits.raw):
+            raise ReadError("a FLAC frame is cut short")
+        room *= 2
+    bits.at += at - begin
+    end = np.array(ends, np.int64)
+    high = end - np.concatenate([[begin], end[:-1] + 1 + rice])
+    low = plain[end[:, None] + 1 + np.arange(rice)].astype(np.int64) @ (1 << np.arange(rice, dtype=np.int64)[::-1]) if rice else 0
+    value = high << rice | low
+    return value >> 1 ^ -(value & 1)
+
+
+def _residual(bits: _Bits, size: int, order: int) -> np.ndarray:
     method, parts = bits.take(2), 1 << bits.take(4)
     if method > 1 or size % parts:
         raise ReadError("a FLAC residual is damaged")
-    width, out = 4 + method, []
+    width, out = 4 + method, [np.zeros(0, np.int64)]
     for k in range(parts):
         n = size // parts - (order if k == 0 else 0)
         rice = bits.take(width)
         if rice == (1 << width) - 1:
             raw = bits.take(5)
-            out += [bits.signed(raw) for _ in range(n)]
-        else:
-            for _ in range(n):
-                value = bits.unary() << rice | (bits.take(rice) if rice else 0)
-                out.append(value >> 1 ^ -(value & 1))
-    return out
+            out.append(np.array([bits.signed(raw) for _ in range(n)], np.int64))
+        elif n > 0:
+            out.append(_rice(bits, n, rice))
+    return np.concatenate(out)
+
+
+def _summed(first: list[int], residual: np.ndarray) -> np.ndarray:
+    """Samples whose differences, taken as often as there are first ones, are the residual: sums of sums."""
+    made = residual
+    for k in range(len(first) - 1, -1, -1):
+        start = int(np.diff(np.array(first, np.int64), k)[0])
+        made = np.concatenate([[start], start + np.cumsum(made)])
+    return made
 
 
-def _subframe(bits: _Bits, size: int, width: int) -> list[int]:
+def _subframe(bits: _Bits, size: int, width: int) -> list[int] | np.ndarray:
     if bits.take(1):
         raise ReadError("a FLAC subframe is damaged")
     kind, wasted = bits.take(6), 0
@@ -100,13 +133,12 @@ def _subframe(bits: _Bits, size: int, width: int) -> list[int]:
     elif 8 <= kind <= 12 or kind >= 32:
         order = kind - 8 if kind < 32 else kind - 31
         out = [bits.signed(width) for _ in range(order)]
-        shift, weights = 0, FIXED.get(order, [])
-        if kind >= 32:
-            precision = bits.take(4) + 1
-            shift = bits.signed(5)
-            weights = [bits.signed(precision) for _ in range(order)]
-        back = weights[::-1]
-        for r in _residual(bits, size, order):
+        if kind < 32:
+            return _summed(out, _residual(bits, size, order)) << wasted
+        precision = bits.take(4) + 1
+        shift = bits.signed(5)
+        back = [bits.signed(precision) for _ in range(order)][::-1]
+        for r in _residual(bits, size, order).tolist():
             guess = sum(w * x for w, x in zip(back, out[len(out) - order :], strict=True)) if order else 0
             out.append(r + (guess >> shift))
     else:

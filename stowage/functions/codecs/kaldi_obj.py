@@ -12,7 +12,7 @@ from typing import BinaryIO
 import numpy as np
 
 from ...errors import ReadError
-from . import kaldi_quant, wav
+from . import flac, kaldi_quant, wav
 
 CHUNK = 8 << 20
 #: Fixed values of the format: tokens of matrices and vectors.
@@ -149,7 +149,11 @@ def read_framed(s: Stream) -> tuple[int, np.ndarray]:
     """A sound in an AUDIO frame, as float64."""
     s.exact(5)
     size = int.from_bytes(s.exact(s.exact(1)[0]), "little")
-    rate, data = read_riff(Stream(_Bytes(s.exact(size))))
+    body = s.exact(size)
+    if body[:4] == b"fLaC":
+        rate, bits, data = flac.read(body)
+        return rate, (data if data.shape[1] > 1 else data[:, 0]) / float(1 << (bits - 1))
+    rate, data = read_riff(Stream(_Bytes(body)))
     return rate, data.astype(np.float64) / (1.0 if data.dtype.kind == "f" else float(1 << (8 * data.dtype.itemsize - 1)))
 
 
@@ -207,11 +211,15 @@ def write_object(value, endian: str = "<", compression_method: int | None = None
     """The binary form of an array, or of a sound given as (rate, samples) or (samples, rate).
 
     float64 stays double, other floats are single; vectors of whole numbers become int32 vectors. sound="framed" puts
-    a sound into an AUDIO frame, a function from (samples, rate) to bytes encodes it itself, and is framed too.
+    a sound into an AUDIO frame as WAV, sound="flac" as FLAC of 16 bits, a function from (samples, rate) to bytes encodes it itself, and is framed too.
     """
     if isinstance(value, tuple):
         rate, data = value if np.ndim(value[0]) == 0 else value[::-1]
-        body = sound(np.asarray(data), int(rate)) if callable(sound) else wav.write(np.asarray(data), int(rate))
+        data = np.asarray(data)
+        if sound == "flac":
+            body = flac.write(wav.quantised(data[:, None] if data.ndim == 1 else data, 16), int(rate))
+        else:
+            body = sound(data, int(rate)) if callable(sound) else wav.write(data, int(rate))
         if sound is None:
             return body
         width = max(1, (len(body).bit_length() + 7) // 8)

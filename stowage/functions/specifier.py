@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+# Kaldi's options.
 #: Options that readers know; none changes what is read here.
 READ_OPTIONS = frozenset(["o", "no", "s", "ns", "cs", "ncs", "p", "np", "bg", "t", "b"])
 WRITE_OPTIONS = frozenset(["t", "f"])
+FLAGS = ("t", "o", "p", "f", "s", "cs")
 
 
 def parse_rspecifier(text: str) -> tuple[str, str]:
@@ -35,14 +37,17 @@ def parse_wspecifier(text: str) -> dict:
 
 
 def parse_specifier(text: str) -> dict:
-    """What a specifier of either kind says: ark, scp and the flags t, o, p, f, s and cs."""
+    """What a specifier of either kind says: ark, scp and the flags t, o, p, f, s and cs. Other options, and fewer files than named, are errors."""
     head, colon, names = text.partition(":")
     words = head.split(",")
     files = [x for x in words if x in ("ark", "scp")]
-    if not colon or not files or len(files) != len(set(files)):
+    if not colon or not files or len(files) != len(set(files)) or set(words) - {"ark", "scp", *FLAGS}:
         raise ValueError(f"no specifier: {text!r}")
-    found = dict(zip(files, (x.strip() for x in names.split(",", len(files) - 1)), strict=False))
-    return {"ark": found.get("ark"), "scp": found.get("scp")} | {flag: flag in words for flag in ("t", "o", "p", "f", "s", "cs")}
+    parts = [x.strip() for x in names.split(",", len(files) - 1)]
+    if len(parts) != len(files) or not all(parts):
+        raise ValueError(f"{text!r} has to name {len(files)} files")
+    found = dict(zip(files, parts, strict=True))
+    return {"ark": found.get("ark"), "scp": found.get("scp")} | {flag: flag in words for flag in FLAGS}
 
 
 def parse_extended_filename(name: str) -> tuple[str, int | None]:

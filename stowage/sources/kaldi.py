@@ -36,6 +36,10 @@ ARK_SCHEMA = StructType([StructField("key", StringType()), *KALDI.fields, Struct
 VALUES = [f.name for f in KALDI.fields]
 
 
+#: Seconds of a recording whose segments go to one task.
+SPAN = 3600.0
+
+
 @contextmanager
 def opened(name: str, allow_pipes: bool = False) -> Iterator[BinaryIO]:
     """An extended file name to read: a file, a .gz file, `-` or, if allowed, `command |`; a command that fails is an error."""
@@ -212,16 +216,21 @@ def fetch(scp: DataFrame, endian: str = "<", allow_pipes: bool = False) -> DataF
     return _objects(scp, lambda loader, row: loader.load(row["ark"], row["offset"], endian, allow_pipes))
 
 
+def decoded(df: DataFrame, payload: str, endian: str = "<") -> DataFrame:
+    """Rows with an object's bytes, text or binary, in a column: the object beside them."""
+    return _objects(df, lambda _, row: K.read_object(K.stream(bytes(row[payload])), endian))
+
+
 def slice_segments(scp: DataFrame, segments: DataFrame, endian: str = "<", allow_pipes: bool = False) -> DataFrame:
     """(utt, rec, start, end, ark, offset) and the sound of each segment; a recording that the scp lacks fails the query.
 
-    Segments of a recording come one after another in a task, so it is read once; a recording with very many segments
-    can still be split by adding tasks, which then read it again.
+    Segments of a recording come one after another in a task, so it is read once, or once for every SPAN seconds of
+    a long one, which are dealt to several tasks.
     """
     index = last_of_each(scp).select(F.col("key").alias("rec"), "ark", "offset")
     joined = segments.join(index, "rec", "left")
     joined = joined.withColumn("ark", F.coalesce("ark", F.raise_error(F.concat(F.lit("no such recording: "), F.col("rec"))).cast("string")))
-    joined = joined.select("utt", "rec", "start", "end", "ark", "offset").repartition("rec").sortWithinPartitions("rec", "start")
+    joined = joined.select("utt", "rec", "start", "end", "ark", "offset").repartition("rec", F.floor(F.col("start") / SPAN)).sortWithinPartitions("rec", "start")
     return _objects(joined, lambda loader, row: K.slice_segment(loader.load(row["ark"], row["offset"], endian, allow_pipes), row["start"], row["end"]))
 
 

@@ -101,6 +101,9 @@ def test_sounds():
         assert rate == 16000 and back.dtype == np.int16 and (back == sound).all()
     rate, back = K.read_object(K.stream(K.write_object((16000, sound), sound="framed")))
     assert back.dtype == np.float64 and np.allclose(back * 32768, sound)
+    for data in (sound, np.stack([sound, -sound], axis=1)):
+        rate, back = K.read_object(K.stream(K.write_object((16000, data), sound="flac")))
+        assert rate == 16000 and back.dtype == np.float64 and (back * 32768 == data).all()
     lying = bytearray(wav.write(sound, 16000))
     lying[4:8] = (0x7FFFF624).to_bytes(4, "little")
     assert (K.read_object(K.stream(bytes(lying)))[1] == sound).all()
@@ -127,6 +130,9 @@ def test_specifiers():
     for bad in ("scp:a", "ark,ark:a,b", "ark,scp:a", "ark,zz:a", "a"):
         with pytest.raises(ValueError):
             parse_wspecifier(bad)
+    for bad in ("ark,scp:a", "ark,zz:a", "ark:", "t:a", "ark,ark:a,b", "ark,scp:a,"):
+        with pytest.raises(ValueError):
+            parse_specifier(bad)
     assert parse_specifier("ark,t,cs:x")["cs"] and parse_specifier("scp:x")["scp"] == "x"
     assert parse_extended_filename("a/b:12") == ("a/b", 12) and parse_extended_filename("cat x:1 |") == ("cat x:1 |", None) and parse_extended_filename("x") == ("x", None)
 
