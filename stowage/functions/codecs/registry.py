@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import zstandard
 
 from ...errors import CodecUnavailable, ReadError
 from ...schemas import check_modality
-from . import flac, png, smf, text, wav
+from ..windows import pcm_window
+from . import flac, jpeg, png, smf, text, wav
 
+# Formats by their first bytes.
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 BITS = (8, 16, 24, 32)
 
@@ -41,15 +45,9 @@ def unavailable(name: str) -> Callable:
     return fail
 
 
-def _window(data: np.ndarray, rate: int, start: float | None, end: float | None) -> np.ndarray:
-    """[start, end) seconds, cut to whole samples; a start before the beginning is the beginning."""
-    first = max(0, int((start or 0.0) * rate))
-    last = len(data) if end is None else max(first, int(end * rate))
-    return data[first:last]
-
-
 def _audio(payload: bytes, file_type: str, rate: int, data: np.ndarray, start: float | None, end: float | None) -> dict:
-    data = _window(data, rate, start, end)
+    first, last = pcm_window(start, end, rate, len(data))
+    data = data[first:last]
     return {"file_type": file_type, "sample_rate": rate, "frames": len(data), "channels": data.shape[1], "samples": data.reshape(-1)}
 
 
@@ -63,16 +61,24 @@ def _decode_flac(payload: bytes, start_time: float | None = None, end_time: floa
     return _audio(payload, "flac", rate, (data / float(1 << (bits - 1))).astype(np.float32), start_time, end_time)
 
 
-def _decode_png(payload: bytes) -> dict:
-    image = png.read(payload)
+def _decode_image(payload: bytes) -> dict:
+    image = png.read(payload) if payload[:4] == b"\x89PNG" else jpeg.read(payload)
     return {"height": image.shape[0], "width": image.shape[1], "channels": image.shape[2], "data": image.tobytes()}
 
 
+@lru_cache(maxsize=1)
+def _say_backend() -> None:
+    """Say once in a process that songs are rendered by sines."""
+    warnings.warn("no FluidSynth is installed here, so songs are rendered by sines", RuntimeWarning, stacklevel=3)
+
+
 def _decode_midi(payload: bytes, start_time: float | None = None, end_time: float | None = None, include_partial: bool = True, synthesize: bool = False, sample_rate: int = 44100, channels: int = 1, backend: str = "auto", soundfont: str | None = None) -> dict:
     if backend not in ("auto", "sine", "fluidsynth"):
         raise ValueError(f"no such synthesis: {backend!r}")
     if backend == "fluidsynth":
         raise CodecUnavailable("fluidsynth needs a library that is not installed here")
+    if synthesize and backend == "auto":
+        _say_backend()
     raw = zstandard.ZstdDecompressor().decompressobj().decompress(payload) if payload[:4] == ZSTD_MAGIC else payload
     song = smf.parse(raw)
     duration = song.end
@@ -89,7 +95,7 @@ def _decode_midi(payload: bytes, start_time: float | None = None, end_time: floa
 
 DECODERS: dict[tuple[str, str], Callable[..., dict]] = {
     ("text", "zstd"): text.decode, ("audio", "wav"): _decode_wav, ("audio", "flac"): _decode_flac, ("audio", "webm"): unavailable("WebM audio"), ("audio", "ogg"): unavailable("Ogg audio"),
-    ("image", "png"): _decode_png, ("image", "jpeg"): unavailable("JPEG"), ("image", "webp"): unavailable("WebP"), ("image", "gif"): unavailable("GIF"),
+    ("image", "png"): _decode_image, ("image", "jpeg"): _decode_image, ("image", "webp"): unavailable("WebP"), ("image", "gif"): unavailable("GIF"),
     ("video", "mp4"): unavailable("MP4 video"), ("video", "webm"): unavailable("WebM video"), ("midi", "mid"): _decode_midi, ("midi", "mid.zst"): _decode_midi,
 }
 
@@ -141,20 +147,22 @@ def encode_audio(item, *, target_format: str | None = None, target_bit_depth: in
     return out, {"sample_rate": rate, "channels": data.shape[1], "samples": len(data), "format": form, "bit_depth": bits, "duration": len(data) / rate}
 
 
-def encode_image(item, *, target_format: str = "png") -> tuple[bytes, dict]:
-    """A file (path or bytes) or a uint8 array as PNG; always encoded anew."""
-    if target_format != "png":
-        if target_format != "jpeg":
-            raise ValueError(f"images are written as png or jpeg, not {target_format!r}")
-        unavailable("JPEG")()
+def encode_image(item, *, target_format: str = "png", quality: int = 95) -> tuple[bytes, dict]:
+    """A file (path or bytes) or a uint8 array as PNG or JPEG; always encoded anew. JPEG drops what an image says of transparency."""
+    if target_format not in ("png", "jpeg"):
+        raise ValueError(f"images are written as png or jpeg, not {target_format!r}")
     if isinstance(item, np.ndarray):
         image = item[:, :, None] if item.ndim == 2 else item
     else:
         raw = _item_bytes(item)
-        if sniff("image", raw) != "png":
-            unavailable(sniff("image", raw))()
-        image = png.read(raw)
-    return png.write(image), {"format": "png", "height": image.shape[0], "width": image.shape[1], "channels": image.shape[2]}
+        form = sniff("image", raw)
+        if form not in ("png", "jpeg"):
+            unavailable(form)()
+        image = png.read(raw) if form == "png" else jpeg.read(raw)
+    if target_format == "jpeg" and image.shape[2] in (2, 4):
+        image = image[:, :, :-1]
+    out = png.write(image) if target_format == "png" else jpeg.write(image, quality)
+    return out, {"format": target_format, "height": image.shape[0], "width": image.shape[1], "channels": image.shape[2]}
 
 
 def encode_midi(item, *, compress: bool = False, compression_level: int = 3) -> tuple[bytes, dict]:

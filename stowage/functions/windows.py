@@ -1,14 +1,7 @@
-"""Windows of sounds and videos in samples and frames, and gathering samples from decoded pieces.
-
-Times become samples by cutting for PCM and by rounding for Opus; times become video frames by cutting, and the sound
-of a video is cut where its frames are.
-"""
+"""Windows of sounds in samples, for codecs and as expressions: times become samples by cutting."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,52 +13,6 @@ def pcm_window(start: float | None, end: float | None, rate: int, frames: int) -
     return first, last
 
 
-def opus_window(start: float | None, end: float | None, rate: int = 48_000) -> tuple[int, int | None]:
-    """[first, last) samples, rounded; last is null for a window without an end."""
-    first = max(0, round((start or 0.0) * rate))
-    return first, None if end is None else max(first, round(end * rate))
-
-
-def frame_window(fps: float, start_frame: int | None = None, end_frame: int | None = None, start_time: float | None = None, end_time: float | None = None) -> tuple[int, int | None]:
-    """[first, last) frames; frames win over times."""
-    first = start_frame if start_frame is not None else int((start_time or 0.0) * fps)
-    last = end_frame if end_frame is not None else int(end_time * fps) if end_time is not None else None
-    first = max(0, first)
-    return first, None if last is None else max(first, last)
-
-
-def sound_of_frames(fps: float | None, first: int, last: int | None, start_time: float | None = None, end_time: float | None = None) -> tuple[float, float | None]:
-    """Seconds of the sound that belongs to frames; the times as they are for a video without a frame rate."""
-    if not fps:
-        return start_time or 0.0, end_time
-    return first / fps, None if last is None else last / fps
-
-
-def frame_index(pts: int, time_base: float, fps: float) -> int:
-    """The number of the frame shown at a time stamp."""
-    return int(pts * time_base * fps + 0.5)
-
-
-def gathered(pieces: Iterable[tuple[int, np.ndarray]], first: int, last: int | None, channels: int) -> tuple[np.ndarray, bool]:
-    """Samples [first, last) of decoded pieces (place of the first sample, (channels, n)), and whether the first piece came too late.
-
-    Pieces are in order; reading ends with the window.
-    """
-    out, late, begun = [], False, False
-    for at, data in pieces:
-        if last is not None and at >= last:
-            break
-        if not begun:
-            begun, late = True, at > first
-        low, high = max(first - at, 0), data.shape[1] if last is None else min(last - at, data.shape[1])
-        if high > low:
-            out.append(data[:, low:high])
-        if last is not None and at + data.shape[1] >= last:
-            break
-    made = np.concatenate(out, axis=1).T if out else np.zeros((0, channels), np.float32)
-    return made, late
-
-
 def sliced_samples(samples: Column, channels: Column, rate: Column, start: Column, end: Column) -> Column:
     """pcm_window() on interleaved samples, as an expression; a null end is the sound's own."""
     frames = F.size(samples) / channels

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SkippedItemsWarning
-from ..functions import columns
+from ..functions import columns, windows
 from ..functions.codecs import kaldi_obj, png, smf, wav
 from ..sources import archive, kaldi
 from ..sources.archive import Archive
@@ -131,6 +131,40 @@ def png_archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.read("height = 8").select(F.col("id").cast("long").alias("vec_id"), "height", "width", "channels", F.sha2("data", 256).alias("pixels"))
 
 
+@query(f"SELECT vec_id, 'jpeg' AS format, 9 AS height, 17 AS width, 3 AS channels, true AS near FROM embeddings")
+def jpeg_archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of one colour and a slope in a JPEG archive: after decoding within a few steps of what they were."""
+
+    def image(row: dict) -> bytes:
+        return png.write(_slope(row["vec_id"]))
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [len(data) == 9 * 17 * 3 and int(np.abs(np.frombuffer(data, np.uint8).reshape(9, 17, 3).astype(int) - _slope(int(key))).max()) <= 12 for key, data in zip(batch.column("id").to_pylist(), batch.column("data").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "format", "height", "width", "channels")), pa.array(ok)], ["id", "format", "height", "width", "channels", "near"])
+
+    items = _made(_table(spark, sf_dir, "embeddings").select("vec_id"), "long", image)
+    made = Archive(spark, _new_folder(spark), "image")
+    made.append(items, "item", "vec_id", partitions=2, target_format="jpeg", quality=95)
+    found = made.read(columns_=["id", "format"]).select("id", "format", "height", "width", "channels", "data")
+    return found.mapInArrow(near, "id string, format string, height int, width int, channels int, near boolean").withColumn("vec_id", F.col("id").cast("long")).drop("id")
+
+
+def _slope(number: int) -> np.ndarray:
+    x = np.arange(17)[None, :, None] * np.array([3, -2, 1]) + np.array([number % 100 + 60, 200 - number % 90, number % 70 + 80])
+    return np.broadcast_to(x, (9, 17, 3)).astype(np.uint8)
+
+
+@query("""WITH s AS (SELECT vec_id, coalesce(embedding, []) AS e, (vec_id % 4) / 2.0 AS a FROM embeddings),
+w AS (SELECT vec_id, e, least(floor(a * 8), len(e) // 2)::INTEGER AS first, least(floor((a + 1.75) * 8), len(e) // 2)::INTEGER AS last FROM s)
+SELECT vec_id, e[2 * first + 1 : 2 * last] AS samples FROM w""")
+def sound_windows_by_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of decoded stereo sounds, each of its own, by expressions alone."""
+    start = (F.col("vec_id") % 4).cast("double") / 2
+    samples = F.coalesce("embedding", F.array().cast("array<float>"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", windows.sliced_samples(samples, F.lit(2), F.lit(8), start, start + 1.75).alias("samples"))
+
+
 _SONGS = "n AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 0.5::DOUBLE AS a, (event_id % 128)::SMALLINT AS pitch, (1 + event_id % 127)::SMALLINT AS velocity FROM events)"
 
 

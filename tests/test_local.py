@@ -17,20 +17,6 @@ FEATS = np.random.default_rng(0).normal(size=(5, 3)).astype(np.float32)
 
 def test_windows():
     assert W.pcm_window(0.137, 8.913, 16000, 160000) == (2192, 142608) and W.pcm_window(-1, None, 8000, 10) == (0, 10) and W.pcm_window(2, 1, 8, 100) == (16, 16)
-    assert W.opus_window(0.00001, 0.99999) == (0, 48000) and W.opus_window(-1, None) == (0, None)
-    assert W.frame_window(25, start_frame=3, start_time=9.0) == (3, None) and W.frame_window(30, None, None, 0.99, 2.0) == (29, 60)
-    assert W.sound_of_frames(25, 5, 10) == (0.2, 0.4) and W.sound_of_frames(None, 0, None, 1.5, 2.5) == (1.5, 2.5)
-    assert W.frame_index(1001, 1 / 30000, 30000 / 1001) == 1
-
-
-def test_gathering():
-    whole = np.arange(200).reshape(2, 100)
-    pieces = [(k, whole[:, k : k + 13]) for k in range(0, 100, 13)]
-    for first in (0, 1, 12, 13, 50, 99, 150):
-        for last in (None, first, first + 1, first + 30, 500):
-            made, late = W.gathered(iter(pieces), first, last, 2)
-            assert not late and (made == whole[:, first:last].T).all() and made.shape[1] == 2
-    assert W.gathered([(10, whole[:, 10:20])], 5, 15, 2)[1]
 
 
 def test_windows_as_expressions(spark):
