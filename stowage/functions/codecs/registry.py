@@ -13,7 +13,7 @@ import zstandard
 from ...errors import CodecUnavailable, ReadError
 from ...schemas import check_modality
 from ..windows import pcm_window
-from . import flac, jpeg, png, smf, text, wav
+from . import containers, flac, jpeg, png, smf, text, wav
 
 # Formats by their first bytes.
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -121,17 +121,23 @@ def encode_audio(item, *, target_format: str | None = None, target_bit_depth: in
 
     A file that is already what is asked for is copied byte by byte.
     """
-    if target_format not in (None, "wav", "flac"):
+    if target_format not in (None, "wav", "flac", "webm"):
         unavailable(f"{target_format} audio")()
     if target_bit_depth is not None and target_bit_depth not in BITS:
         raise ValueError(f"a sample has one of {BITS} bits, not {target_bit_depth}")
     if isinstance(item, tuple):
+        if target_format == "webm":
+            unavailable("WebM audio")()
         data, rate = np.asarray(item[0]), int(item[1])
         data = data[:, None] if data.ndim == 1 else data
         form, bits, raw, have = target_format or "flac", target_bit_depth or 16, None, None
     else:
         raw = _item_bytes(item)
         have = sniff("audio", raw)
+        if have == "webm" and target_format in (None, "webm") and target_bit_depth is None:
+            return _stored_webm(raw)
+        if target_format == "webm":
+            unavailable("WebM audio")()
         if have == "wav":
             found = wav.read(raw)
             rate, data, own = found.rate, found.data, None if found.is_float else found.bits
@@ -147,6 +153,29 @@ def encode_audio(item, *, target_format: str | None = None, target_bit_depth: in
     return out, {"sample_rate": rate, "channels": data.shape[1], "samples": len(data), "format": form, "bit_depth": bits, "duration": len(data) / rate}
 
 
+def encode_video(item, *, target_format: str | None = None) -> tuple[bytes, dict]:
+    """An MP4 or WebM file (path or bytes), stored byte by byte with what its tracks say; nothing is encoded anew."""
+    raw = _item_bytes(item)
+    form = sniff("video", raw)
+    if target_format not in (None, form):
+        unavailable(f"{target_format} video")()
+    found = containers.tracks(raw)
+    video = next((t for t in found if t.kind == "video"), None)
+    if video is None:
+        raise ReadError("a video file without a track of pictures")
+    sound = next((t for t in found if t.kind == "audio"), None)
+    return raw, {"fps": video.fps, "height": video.height, "width": video.width, "sample_rate": sound and sound.rate, "format": form, "video_codec": video.codec, "audio_codec": sound and sound.codec, "gop_size": video.gop}
+
+
+def _stored_webm(raw: bytes) -> tuple[bytes, dict]:
+    """A WebM sound byte by byte, with what its track says."""
+    sound = next((t for t in containers.webm_tracks(raw) if t.kind == "audio"), None)
+    if sound is None:
+        raise ReadError("a WebM file without a track of sound")
+    samples = None if sound.duration is None else round(sound.duration * sound.rate)
+    return raw, {"sample_rate": sound.rate, "channels": sound.channels, "samples": samples, "format": "webm", "bit_depth": None, "duration": sound.duration}
+
+
 def encode_image(item, *, target_format: str = "png", quality: int = 95) -> tuple[bytes, dict]:
     """A file (path or bytes) or a uint8 array as PNG or JPEG; always encoded anew. JPEG drops what an image says of transparency."""
     if target_format not in ("png", "jpeg"):
@@ -174,7 +203,7 @@ def encode_midi(item, *, compress: bool = False, compression_level: int = 3) ->
     return out, smf.summary(smf.parse(raw)) | {"original_size": len(raw), "stored_size": len(out), "format": "mid.zst" if compress else "mid"}
 
 
-ENCODERS: dict[str, Callable[..., tuple[bytes, dict]]] = {"text": text.encode, "audio": encode_audio, "image": encode_image, "midi": encode_midi, "video": unavailable("video")}
+ENCODERS: dict[str, Callable[..., tuple[bytes, dict]]] = {"text": text.encode, "audio": encode_audio, "image": encode_image, "midi": encode_midi, "video": encode_video}
 
 
 def encode(modality: str, item, **options) -> tuple[bytes, dict]:

@@ -1,12 +1,15 @@
 import io
+import struct
 import warnings
 
 import numpy as np
 import pytest
 
 from stowage.errors import CodecUnavailable, ReadError
+from stowage.functions.codecs import containers as C
 from stowage.functions.codecs import flac, jpeg, png, registry, smf, text, wav
 from stowage.schemas import check_modality
+from stowage.sources.archive import Archive
 
 TONE = np.sin(2 * np.pi * 440 * np.arange(8000) / 16000)
 SOUND = np.column_stack([TONE, 0.3 * np.random.default_rng(0).standard_normal(8000)]).clip(-1, 1)
@@ -212,3 +215,73 @@ def test_images_change_format():
     assert registry.sniff("image", payload) == "jpeg" and meta == {"format": "jpeg", "height": 16, "width": 16, "channels": 3}
     back, meta = registry.encode("image", payload)
     assert meta["format"] == "png" and registry.decode("image", back)["data"] == registry.decode("image", payload)["data"]
+
+
+def box(name, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), name) + body
+
+
+def mp4():
+    """25 frames a second, 320 x 240, key frames 1, 11 and 31 of 40; stereo at 22,050."""
+
+    def track(handler, scale, entry, steps, keys=None):
+        mdhd = box(b"mdhd", bytes(12), struct.pack(">II", scale, 0), bytes(4))
+        hdlr = box(b"hdlr", bytes(8), handler, bytes(13))
+        stsd = box(b"stsd", struct.pack(">II", 0, 1), entry)
+        stts = box(b"stts", struct.pack(">II", 0, len(steps)), *(struct.pack(">II", *s) for s in steps))
+        stss = box(b"stss", struct.pack(f">II{len(keys)}I", 0, len(keys), *keys)) if keys else b""
+        return box(b"trak", box(b"mdia", mdhd, hdlr, box(b"minf", box(b"stbl", stsd, stts, stss))))
+
+    picture = box(b"avc1", bytes(24), struct.pack(">HH", 320, 240), bytes(50))
+    sound = box(b"mp4a", bytes(16), struct.pack(">HHI", 2, 16, 0), struct.pack(">I", 22_050 << 16))
+    moov = box(b"moov", track(b"vide", 12_800, picture, [(30, 512), (10, 512)], [1, 11, 31]), track(b"soun", 22_050, sound, [(35, 1024)]))
+    return box(b"ftyp", b"isom", bytes(4)) + moov + box(b"mdat", bytes(99))
+
+
+def element(name, *parts, unknown=False):
+    body = b"".join(parts)
+    head = name.to_bytes((name.bit_length() + 7) // 8, "big")
+    return head + (b"\x01" + b"\xff" * 7 if unknown else struct.pack(">Q", 1 << 56 | len(body))) + body
+
+
+def webm(video=True, unknown=False):
+    """10 frames of 40 ms, key frames 0 and 6, and Opus at 48,000."""
+    number = lambda name, value: element(name, value.to_bytes(4, "big"))
+    pictures = element(C.ENTRY, number(C.NUMBER, 1), number(C.TYPE, 1), element(C.CODEC, b"V_VP9"), element(C.VIDEO, number(C.WIDTH, 64), number(C.HEIGHT, 48)))
+    sound = element(C.ENTRY, number(C.NUMBER, 2), number(C.TYPE, 2), element(C.CODEC, b"A_OPUS"), element(C.AUDIO, element(C.RATE, struct.pack(">d", 48000.0)), number(C.CHANNELS, 2)))
+    info = element(C.INFO, number(C.SCALE, 1_000_000), element(C.DURATION, struct.pack(">d", 400.0)))
+    clusters = []
+    for first in (0, 5):
+        blocks = [element(C.SIMPLE_BLOCK, b"\x81", struct.pack(">hB", 40 * k, 128 if first + k in (0, 6) else 0), b"data") if k else element(C.GROUP, element(C.BLOCK, b"\x81", struct.pack(">hB", 0, 0), b"data"), *([element(C.REFERENCE, b"\x01")] if first else [])) for k in range(5)]
+        clusters.append(element(C.CLUSTER, number(C.CLUSTER_TIME, 40 * first), *(blocks if video else []), unknown=unknown))
+    return element(0x1A45DFA3, element(0x4282, b"webm")) + element(C.SEGMENT, info, element(C.TRACKS, *([pictures] if video else []), sound), *clusters, unknown=unknown)
+
+
+def test_containers_say_what_they_hold():
+    assert C.tracks(mp4()) == [C.Track("video", "avc1", 320, 240, 25.0, 40, 20, duration=1.6), C.Track("audio", "mp4a", rate=22_050, channels=2, duration=35 * 1024 / 22_050)]
+    for unknown in (False, True):
+        assert C.tracks(webm(unknown=unknown)) == [C.Track("video", "vp9", 64, 48, 25.0, 10, 6, duration=0.4), C.Track("audio", "opus", rate=48_000, channels=2, duration=0.4)]
+    for bad in (mp4()[:200], box(b"ftyp", b"isom"), webm()[:30], b"\x1aE\xdf\xa3"):
+        with pytest.raises(ReadError):
+            C.tracks(bad)
+
+
+def test_videos_are_stored_as_they_are():
+    payload, meta = registry.encode("video", mp4())
+    assert payload == mp4() and meta == {"fps": 25.0, "height": 240, "width": 320, "sample_rate": 22_050, "format": "mp4", "video_codec": "avc1", "audio_codec": "mp4a", "gop_size": 20}
+    assert registry.encode("video", webm())[1]["format"] == "webm"
+    payload, meta = registry.encode("audio", webm(video=False))
+    assert payload == webm(video=False) and (meta["format"], meta["sample_rate"], meta["samples"], meta["duration"]) == ("webm", 48_000, 19_200, 0.4)
+    for call in (lambda: registry.encode("video", mp4(), target_format="webm"), lambda: registry.decode("video", mp4()), lambda: registry.encode("audio", (np.zeros(9), 9), target_format="webm"), lambda: registry.decode("audio", webm(video=False))):
+        with pytest.raises(CodecUnavailable):
+            call()
+    with pytest.raises(ReadError):
+        registry.encode("video", webm(video=False))
+
+
+def test_video_archive(spark, tmp_path):
+    archive = Archive(spark, str(tmp_path / "v"), "video")
+    archive.append(spark.createDataFrame([("a", mp4()), ("b", webm())], "id string, item binary"))
+    rows = {r.id: r for r in archive.index().collect()}
+    assert (rows["a"].fps, rows["a"].gop_size, rows["b"].video_codec, rows["b"].height) == (25.0, 20, "vp9", 48)
