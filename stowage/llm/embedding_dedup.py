@@ -102,7 +102,8 @@ def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _code_kind(hashes: int, dimensions: int) -> str:
-    return "<u4" if (2 * max(2, 1 << (dimensions - 1).bit_length())) ** hashes <= 1 << 32 else "<i8"
+    codes = (2 * max(2, 1 << (dimensions - 1).bit_length())) ** hashes
+    return "<u2" if codes <= 1 << 16 else "<u4" if codes <= 1 << 32 else "<i8"
 
 
 def _coded(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -139,31 +140,41 @@ def _met(probes: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, code: int
     return new
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
 def _links(batches: Iterable[pa.RecordBatch], cosine: float, rows: int, kind: str) -> Iterator[pa.RecordBatch]:
     """(u, v, n): for u a number n of linked vectors, v being null, or a link of a spanning forest, n being null."""
     for table, starts in whole_runs(batches, ("bucket", "block_i", "block_j"), 8192):
         node, weight, place, block, bi, bj, bucket = (table.column(c).to_numpy() for c in ("node", "n", "place", "block", "block_i", "block_j", "bucket"))
         (vectors, edges), (codes, code_edges) = _bytes(table.column("vector")), _bytes(table.column("codes"))
-        counts: dict[int, int] = {}
-        us, vs = [], []
-        for begin, end in zip(starts, np.append(starts[1:], len(node)), strict=True):
-            if end - begin < 2:
-                continue
+        linked, totals, us, vs = [], [], [], []
+        ends = np.append(starts[1:], len(node))
+        kinds = bucket[starts] >> CODE_BITS + 6
+        layouts = {int(n): (layout(rows, int(n)), _code_kind(layout(rows, int(n))[1], int(n))) for n in np.unique(kinds)}
+        probed = np.repeat([layouts[int(n)][0][2] for n in kinds], ends - starts)
+        head = place % probed == 0
+        useful = (ends - starts > 1) & (np.add.reduceat(head.astype(np.int64), starts) > 0)
+        alike = len(layouts) == 1
+        whole = _unit(vectors[edges[0] : edges[-1]].view(kind).reshape(len(node), -1)) if alike else None
+        for begin, end in zip(starts[useful].tolist(), ends[useful].tolist(), strict=True):
             which, code = int(bucket[begin]) >> CODE_BITS, int(bucket[begin]) & (1 << CODE_BITS) - 1
-            tables, hashes, probes = layout(rows, which // 64)
-            heads, found = place[begin:end] % probes == 0, []
-            if not heads.any():
-                continue
-            x = vectors[edges[begin] : edges[end]].view(kind).reshape(end - begin, -1).astype(np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            unit = codes[code_edges[begin] : code_edges[end]].view(_code_kind(hashes, which // 64)).reshape(end - begin, tables, probes)
+            (tables, _, probes), code_kind = layouts[which // 64]
+            heads, found = head[begin:end], []
+            x = whole[begin:end] if alike else _unit(vectors[edges[begin] : edges[end]].view(kind).reshape(end - begin, -1))
+            unit = codes[code_edges[begin] : code_edges[end]].view(code_kind).reshape(end - begin, tables, probes)
             own, many = block[begin:end], bi[begin] != bj[begin]
             for at in range(0, end - begin, 1024):
                 close = x[at : at + 1024] @ x.T >= cosine
-                close &= heads[at : at + 1024, None] | heads[None]
-                p, q = np.nonzero(close)
-                found.append(np.column_stack([p + at, q])[p + at < q])
+                p, q = np.divmod(np.flatnonzero(close), end - begin)
+                p += at
+                new = (p < q) & (heads[p] | heads[q])
+                found.append(np.column_stack([p[new], q[new]]))
             pairs = np.concatenate(found)
             if many:  # pairs within a block are looked at where it meets its first other block
                 own_unit = (own[pairs[:, 0]] != own[pairs[:, 1]]) | (np.where(own[pairs[:, 0]] == 0, 1, 0) == np.where(own[pairs[:, 0]] == bi[begin], bj[begin], bi[begin]))
@@ -180,12 +191,17 @@ def _links(batches: Iterable[pa.RecordBatch], cosine: float, rows: int, kind: st
                 new = _met(unit, a, b, which % 64, code)
                 total += np.bincount(a[new], weight[begin:end][b[new]], end - begin).astype(np.int64)
                 total += np.bincount(b[new], weight[begin:end][a[new]], end - begin).astype(np.int64)
-            for k in np.flatnonzero(total):
-                counts[int(node[begin + k])] = counts.get(int(node[begin + k]), 0) + int(total[k])
+            some = np.flatnonzero(total)
+            linked.append(node[begin:end][some])
+            totals.append(total[some])
+        counted, at = np.unique(np.concatenate(linked) if linked else np.zeros(0, np.int64), return_inverse=True)
+        sums = np.zeros(len(counted), np.int64)
+        if linked:
+            np.add.at(sums, at, np.concatenate(totals))
         u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
         none = pa.nulls
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), none(len(u), pa.int64())], ["u", "v", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), none(len(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["u", "v", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(counted), none(len(counted), pa.int64()), pa.array(sums)], ["u", "v", "n"])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, expected: int | None = None) -> DataFrame:
@@ -206,7 +222,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     kind = "<f4" if rows.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
     if kind == "<f8":
         rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
-    distinct = written(rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    # goes before the vector where rows are sorted, as whole numbers compare faster, and spreads rows without a vector
+    rows = rows.withColumn("hash", F.xxhash64(F.when(F.col("vector").isNull(), F.col("id")), "vector"))
+    distinct = written(rows.where("vector is not null").groupBy("hash", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     total = distinct.count() if expected is None else expected
     nodes = written(distinct.select("node", "n", "vector").mapInArrow(lambda b: _coded(b, total), "node long, n long, vector binary, codes binary, buckets array<long>"))
     spread = nodes.select("node", "n", "vector", "codes", F.posexplode("buckets").alias("place", "bucket")).where("bucket is not null")
@@ -216,9 +234,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     found = written(dealt.mapInArrow(lambda batches: _links(batches, cosine, total, kind), "u long, v long, n long"))
     counts = found.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
     groups = smallest_ids(distinct.select("node", "least"), found.where("n is null").select("u", "v"))
-    known = distinct.select("node", "n", "vector").join(groups, "node").join(counts, "node", "left")
-    known = known.select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("component").alias("component_id"), F.col("n").alias("rows"))
-    made = dealt_join(rows, known, ["vector"], "rows")
+    known = distinct.select("node", "n", "hash", "vector").join(groups, "node").join(counts, "node", "left")
+    known = known.select("hash", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("component").alias("component_id"), F.col("n").alias("rows"))
+    made = dealt_join(rows, known, ["hash", "vector"], "rows")
     component = F.coalesce("component_id", "id").cast(id_kind)
     return made.select(F.col("id").cast(id_kind).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
