@@ -58,9 +58,10 @@ class Stream:
 
 
 def _sized_int(s: Stream, endian: str) -> int:
-    if s.exact(1) != b"\4":
-        raise ReadError("an integer of another size than four bytes")
-    return struct.unpack(endian + "i", s.exact(4))[0]
+    width = s.exact(1)[0]
+    if not 1 <= width <= 8:
+        raise ReadError(f"an integer of {width} bytes")
+    return int.from_bytes(s.exact(width), "little" if endian == "<" else "big", signed=True)
 
 
 def _count(s: Stream, endian: str) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,26 @@ def pad_collate(df: DataFrame, column: str, batch_size: int, order_by: str, labe
     return made.select("batch", *out, *([F.col(f"rows.{label}").alias("labels")] if label else []))
 
 
+def video_collate(df: DataFrame, batch_size: int, order_by: str, data: str = "data", samples: str | None = None) -> DataFrame:
+    """One row for each batch: batch, height, width, n_frames of each video, and their frames, in order.
+
+    Frames are RGB bytes behind one another; shorter videos get black ones up to the longest of the batch, and their
+    samples, if that names a column of arrays, zeros. Null frames are none. A batch of videos of several sizes fails.
+    """
+    rows = in_batches(df, batch_size, order_by)
+    rows = padded(rows, samples) if samples else rows
+    of_batch, frame = Window.partitionBy("batch"), (F.col("height") * F.col("width") * 3).cast("long")
+    alike = (F.min("height").over(of_batch) == F.max("height").over(of_batch)) & (F.min("width").over(of_batch) == F.max("width").over(of_batch))
+    own = F.coalesce(F.col(data), F.lit(b""))
+    sized = rows.withColumns({"__n": F.floor(F.octet_length(own) / frame).cast("int"), "__ok": F.coalesce(alike, F.lit(True))})
+    most = (F.max("__n").over(of_batch) * F.max(frame).over(of_batch)).cast("int")
+    filled = sized.withColumn(data, F.when(F.col("__ok"), F.rpad(own, most, F.lit(b"\0"))).otherwise(F.raise_error(F.lit("videos of a batch differ in size")).cast("binary")))
+    parts = ["place", data, "__n", "height", "width", *([samples, f"{samples}_length"] if samples else [])]
+    made = filled.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("rows"))
+    more = [F.col(f"rows.{samples}").alias("samples"), F.col(f"rows.{samples}_length").alias("lengths")] if samples else []
+    return made.select("batch", F.col("rows.height")[0].alias("height"), F.col("rows.width")[0].alias("width"), F.col("rows.__n").alias("n_frames"), F.col(f"rows.{data}").alias("frames"), *more)
+
+
 def text_collate(df: DataFrame, column: str, batch_size: int, order_by: str) -> DataFrame:
     """One row for each batch: batch and texts, in order."""
     rows = in_batches(df, batch_size, order_by)

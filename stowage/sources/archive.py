@@ -102,6 +102,15 @@ class Archive:
         """n_items, n_bins and total_bytes, in one row."""
         return summary(self.index())
 
+    def export_index(self, path: str) -> None:
+        """The index as a single Parquet file, for servers and for readers of remote_index; one task writes it."""
+        parts = f"{path}-{uuid.uuid4().hex}"
+        try:
+            self.index().coalesce(1).write.parquet(parts)
+            os.replace(next(f"{parts}/{name}" for name in os.listdir(parts) if name.endswith(".parquet") and not name.startswith(".")), path)
+        finally:
+            shutil.rmtree(parts, ignore_errors=True)
+
     def counts(self, column: str) -> DataFrame:
         return self.index().groupBy(column).agg(F.count("*").alias("n_items"))
 

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from stowage.plans import codec_queries  # noqa: F401
+from stowage.plans import codec_queries, file_queries  # noqa: F401
 from stowage.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
