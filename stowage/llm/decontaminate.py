@@ -7,16 +7,18 @@ shingle's place in the window fixes where the window would begin; beginnings out
 dropped by their bounds, and the others are verified word by word.
 
 The benchmark is cut into blocks of windows of a bounded size. Each block is sent to the executors and all
-documents are matched against it where they are, so no document is shuffled and no frequent word gathers rows.
+documents are matched against it where they are, so no frequent word gathers rows. With one block no document is
+shuffled. With more, each is let go before the next is made, and what was found is joined by row.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,8 +85,8 @@ class Prefixes:
         return ranges, items
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[dict[Window, list[str]]]:
-    """The windows of all items with the items that have them, a block at a time.
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> tuple[int, Iterator[dict[Window, list[str]]]]:
+    """How many blocks there are, and the windows of all items with the items that have them, a block at a time.
 
     Items of null id are left out, those of equal id are one item.
     """
@@ -100,9 +102,8 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator
     made = written(source.mapInArrow(cut, "item string, window binary").groupBy("window").agg(F.collect_set("item").alias("items")))
     n = made.count()
     blocks = max(1, -(-n // BLOCK_WINDOWS))
-    for k in range(blocks):
-        part = made if blocks == 1 else made.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
-        yield {tuple(bytes(r.window).split()): list(r["items"]) for r in part.toLocalIterator()}
+    parts = [made if blocks == 1 else made.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k) for k in range(blocks)]
+    return blocks, ({tuple(bytes(r.window).split()): list(r["items"]) for r in part.toLocalIterator()} for part in parts)
 
 
 def _counted(docs: DataFrame, windows: dict[Window, list[str]]) -> dict[Window, int]:
@@ -125,6 +126,7 @@ def _counted(docs: DataFrame, windows: dict[Window, list[str]]) -> dict[Window,
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
     found = docs.select("__bytes").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
     return {names[r.k]: r.n for r in found}
 
 
@@ -144,42 +146,64 @@ def _matched(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     """__id, the columns in keep, __n_words, __hits and __items."""
     docs = df.select(F.col(id_col).alias("__id"), *keep, F.col(text_col).cast("binary").alias("__bytes"))
     spark = df.sparkSession
-    blocks = []
-    for windows in _blocks(benchmark, item_col, item_text, window):
-        blocks.append(spark.sparkContext.broadcast(Prefixes(windows, _counted(docs, windows))))
+    n_blocks, blocks = _blocks(benchmark, item_col, item_text, window)
     types = "__n_words long, __hits array<struct<start:int,end:int>>, __items array<string>"
-    pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__bytes")
+    if n_blocks == 1:
+        windows = next(blocks)
+        return docs.mapInArrow(_finder(spark.sparkContext.broadcast(Prefixes(windows, _counted(docs, windows)))), f"{head}, {types}")
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    parts = []
+    for windows in blocks:
+        sent = spark.sparkContext.broadcast(Prefixes(windows, _counted(rows, windows)))
+        found = rows.select("__row", "__bytes").mapInArrow(_finder(sent), f"__row long, {types}")
+        parts.append(written(found.where(F.size("__items") > 0).drop("__n_words")))
+        sent.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(F.flatten(F.collect_list("__hits")).alias("__found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    return rows.join(every, "__row", "left").drop("__row").mapInArrow(_joined, f"{head}, {types}")
+
+
+_HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _merged(ranges: Iterable[tuple[int, int]]) -> list[dict[str, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [{"start": a, "end": b} for a, b in out]
 
-    def merged(ranges: Iterable[tuple[int, int]]) -> list[dict[str, int]]:
-        out: list[list[int]] = []
-        for a, b in sorted(ranges):
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(b, out[-1][1])
-            else:
-                out.append([a, b])
-        return [{"start": a, "end": b} for a, b in out]
+
+def _finder(sent: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: a block's hits and items in the texts of __bytes, beside the other columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
                 cut = [words_of(t) for t in part.column("__bytes").to_pylist()]
-                ranges: list[set] = [set() for _ in cut]
-                items: list[set] = [set() for _ in cut]
-                for block in blocks:  # a block is in memory only while these documents are matched against it
-                    index = block.value
-                    for k, words in enumerate(cut):
-                        a, b = index.find(words)
-                        ranges[k] |= a
-                        items[k] |= b
-                    if len(blocks) > 1:
-                        del index, block._value
-                made = [pa.array([len(w) for w in cut], pa.int64()), pa.array([merged(r) for r in ranges], pair), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                found = [index.find(words) for words in cut]
+                made = [pa.array([len(w) for w in cut], pa.int64()), pa.array([_merged(r) for r, _ in found], _HITS), pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))]
                 kept = [c for c in part.schema.names if c != "__bytes"]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, [*kept, "__n_words", "__hits", "__items"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__bytes")
-    return docs.mapInArrow(run, f"{head}, {types}")
+    return run
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits of all blocks, merged, for rows that have __bytes, __found and __items (null if no block has any)."""
+    for batch in batches:
+        for at in range(0, len(batch), 1024):
+            part = batch.slice(at, 1024)
+            n_words = [len(words_of(t)) for t in part.column("__bytes").to_pylist()]
+            hits = [_merged((r["start"], r["end"]) for r in rows or ()) for rows in part.column("__found").to_pylist()]
+            items = [x or [] for x in part.column("__items").to_pylist()]
+            kept = [c for c in part.schema.names if c not in ("__bytes", "__found", "__items")]
+            made = [pa.array(n_words, pa.int64()), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, [*kept, "__n_words", "__hits", "__items"])
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:
