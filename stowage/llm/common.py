@@ -205,6 +205,11 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def text_within(df: DataFrame, text: str, keep: Iterable[str]) -> str:
+    """The column that Python reads texts from: the kept one itself, so that it is sent once, or __bytes, to be made of it."""
+    return text if text in keep and df.schema[text].dataType.simpleString() in ("string", "binary") else "__bytes"
+
+
 def per_text(work: Callable[[list[bytes | None]], dict[str, list]], schema: pa.Schema, ids: list[str], text: str, rows: int = 512):
     """A function for mapInArrow: work() on the UTF-8 bytes of some texts at a time, beside the id columns."""
 

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_within, written
 
 WINDOW, SHINGLE = 8, 3
 #: A document is contaminated if it has windows of so many items.
@@ -144,23 +144,25 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def _matched(df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, keep: tuple[str, ...]) -> DataFrame:
     """__id, the columns in keep, __n_words, __hits and __items."""
-    docs = df.select(F.col(id_col).alias("__id"), *keep, F.col(text_col).cast("binary").alias("__bytes"))
+    source = text_within(df, text_col, keep)
+    docs = df.select(F.col(id_col).alias("__id"), *keep, *([] if source == text_col else [F.col(text_col).cast("binary").alias(source)]))
+    texts = F.col(source).cast("binary").alias("__bytes")
     spark = df.sparkSession
     n_blocks, blocks = _blocks(benchmark, item_col, item_text, window)
     types = "__n_words long, __hits array<struct<start:int,end:int>>, __items array<string>"
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__bytes")
     if n_blocks == 1:
         windows = next(blocks)
-        return docs.mapInArrow(_finder(spark.sparkContext.broadcast(Prefixes(windows, _counted(docs, windows)))), f"{head}, {types}")
+        return docs.mapInArrow(_finder(spark.sparkContext.broadcast(Prefixes(windows, _counted(docs.select(texts), windows))), source), f"{head}, {types}")
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
     parts = []
     for windows in blocks:
-        sent = spark.sparkContext.broadcast(Prefixes(windows, _counted(rows, windows)))
-        found = rows.select("__row", "__bytes").mapInArrow(_finder(sent), f"__row long, {types}")
+        sent = spark.sparkContext.broadcast(Prefixes(windows, _counted(rows.select(texts), windows)))
+        found = rows.select("__row", texts).mapInArrow(_finder(sent), f"__row long, {types}")
         parts.append(written(found.where(F.size("__items") > 0).drop("__n_words")))
         sent.destroy()
     every = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(F.flatten(F.collect_list("__hits")).alias("__found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
-    return rows.join(every, "__row", "left").drop("__row").mapInArrow(_joined, f"{head}, {types}")
+    return rows.join(every, "__row", "left").drop("__row").mapInArrow(_joiner(source), f"{head}, {types}")
 
 
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -176,15 +178,15 @@ def _merged(ranges: Iterable[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in out]
 
 
-def _finder(sent: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: a block's hits and items in the texts of __bytes, beside the other columns."""
+def _finder(sent: Broadcast, source: str = "__bytes") -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: a block's hits and items in the texts of a column, beside all columns but __bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                cut = [words_of(t) for t in part.column("__bytes").to_pylist()]
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                cut = [words_of(t) for t in part.column(source).cast(pa.binary()).to_pylist()]
                 found = [index.find(words) for words in cut]
                 made = [pa.array([len(w) for w in cut], pa.int64()), pa.array([_merged(r) for r, _ in found], _HITS), pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))]
                 kept = [c for c in part.schema.names if c != "__bytes"]
@@ -193,17 +195,21 @@ def _finder(sent: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hits of all blocks, merged, for rows that have __bytes, __found and __items (null if no block has any)."""
-    for batch in batches:
-        for at in range(0, len(batch), 1024):
-            part = batch.slice(at, 1024)
-            n_words = [len(words_of(t)) for t in part.column("__bytes").to_pylist()]
-            hits = [_merged((r["start"], r["end"]) for r in rows or ()) for rows in part.column("__found").to_pylist()]
-            items = [x or [] for x in part.column("__items").to_pylist()]
-            kept = [c for c in part.schema.names if c not in ("__bytes", "__found", "__items")]
-            made = [pa.array(n_words, pa.int64()), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, [*kept, "__n_words", "__hits", "__items"])
+def _joiner(source: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: hits of all blocks, merged, for rows that have a text, __found and __items (null if no block has any)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                n_words = [len(words_of(t)) for t in part.column(source).cast(pa.binary()).to_pylist()]
+                hits = [_merged((r["start"], r["end"]) for r in rows or ()) for rows in part.column("__found").to_pylist()]
+                items = [x or [] for x in part.column("__items").to_pylist()]
+                kept = [c for c in part.schema.names if c not in ("__bytes", "__found", "__items")]
+                made = [pa.array(n_words, pa.int64()), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, [*kept, "__n_words", "__hits", "__items"])
+
+    return run
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1) -> DataFrame:

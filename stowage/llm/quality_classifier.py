@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt_join, written
+from .common import dealt_join, text_within, written
 from .decontaminate import words_of
 
 #: The model is fitted on at most so many labelled documents, those with the smallest hashes of their ids.
@@ -198,12 +198,13 @@ def _scored(docs: DataFrame, model: Model, text_col: str, columns: list[str]) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                odds = np.array([sent.value.score(t) for t in part.column("__bytes").to_pylist()], complex)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                odds = np.array([sent.value.score(t) for t in part.column(source).cast(pa.binary()).to_pylist()], complex)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(odds.real), pa.array(odds.imag)], [*columns, "__good", "__bad"])
 
-    own = docs.select(*columns, F.col(text_col).cast("binary").alias("__bytes"))
+    source = text_within(docs, text_col, columns)
+    own = docs.select(*columns) if source == text_col else docs.select(*columns, F.col(text_col).cast("binary").alias(source))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__bytes")
     return own.mapInArrow(run, f"{head}, __good double, __bad double")
 
