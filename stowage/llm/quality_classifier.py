@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -31,6 +31,8 @@ LEAST_Z = 5.0
 FEATURES, LEAST_DOCUMENTS = 20_000, 3
 #: Sites up to so many are broadcast to the documents; more are joined.
 BROADCAST_SITES = 100_000
+#: Words whose weights a task remembers at most, and how many bytes such a word has; and features that it counts before it sends them.
+KNOWN_WORDS, KNOWN_BYTES, COUNTED = 200_000, 64, 100_000
 HEADS = ("quality", "toxic")
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -88,13 +90,15 @@ class Model:
         words = words_of(text)
         distinct = set(words)
         known, weights = self.words, self.weights
-        if len(known) > 200_000:  # a cache only
+        if len(known) >= KNOWN_WORDS:  # a cache only
             known.clear()
         total = 0j
         for word in distinct:
             value = known.get(word)
             if value is None:
-                value = known[word] = sum((weights.get(p, 0) for p in _parts(word)), 0j)
+                value = sum((weights.get(p, 0) for p in _parts(word)), 0j)
+                if len(word) <= KNOWN_BYTES and len(known) < KNOWN_WORDS:
+                    known[word] = value
             if value:
                 total += value
         shape = sum((weights.get(s, 0) for s in shape_of(text, words, distinct)), self.bias)
@@ -119,6 +123,31 @@ def _fitted(row: np.ndarray, column: np.ndarray, value: np.ndarray, positive: np
     return float(bias), weights
 
 
+def _counter(head: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: (f, n, k), in how many texts a feature is and in how many labelled 1; it may have several rows, to be summed."""
+
+    def sums(total: Counter, inside: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64()), pa.array([inside[f] for f in total], pa.int64())], ["f", "n", "k"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter = Counter()
+            inside: Counter = Counter()
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                for text, label in zip(part.column("text").to_pylist(), part.column(head).to_pylist(), strict=True):
+                    found = features_of(text).keys()
+                    total.update(found)
+                    if label == 1:
+                        inside.update(found)
+                    if len(total) >= COUNTED:
+                        yield sums(total, inside)
+                        total, inside = Counter(), Counter()
+            yield sums(total, inside)
+
+    return count
+
+
 def _chosen(sample: DataFrame, head: str) -> list[bytes]:
     """The features that go with a head's label most strongly, counted over the sample by the executors."""
     own = sample.where(F.col(head).isNotNull())
@@ -126,18 +155,7 @@ def _chosen(sample: DataFrame, head: str) -> list[bytes]:
     if not whole.n or whole.rate in (0.0, 1.0):
         return []
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total: Counter = Counter()
-            inside: Counter = Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column(head).to_pylist(), strict=True):
-                found = features_of(text).keys()
-                total.update(found)
-                if label == 1:
-                    inside.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64()), pa.array([inside[f] for f in total], pa.int64())], ["f", "n", "k"])
-
-    counts = own.select("text", head).mapInArrow(count, "f binary, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counts = own.select("text", head).mapInArrow(_counter(head), "f binary, n long, k long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     rate = F.lit(whole.rate)
     z = F.abs((F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
     best = counts.where(F.col("n") >= LEAST_DOCUMENTS).select("f", z.alias("z")).where(F.col("z") >= LEAST_Z)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,36 @@ def test_edges(spark):
     clash = docs.withColumns({"kept": F.lit("no"), "good_shift": F.lit(1)})
     assert Q.accepted(clash, some).columns == clash.columns and Q.classified(clash, some).columns.count("kept") == 1
     assert Q.classified(docs.where(F.lit(False)), some).count() == 0
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    """Neither many words of one text nor long words stay in a task, and the scores are those of a new model."""
+    monkeypatch.setattr(Q, "KNOWN_WORDS", 500, raising=False)
+    rng = random.Random(4)
+    words = [b"%x" % rng.getrandbits(64) for _ in range(3000)] + [b"w%d" % k * 2000 for k in range(50)]
+    weights = {p: complex(rng.randrange(-8, 8), rng.randrange(-8, 8)) for w in words for p in Q._parts(w)}
+    model = Q.Model(1 + 2j, weights)
+    texts = [b" ".join(rng.sample(words, n)) for n in (3050, 400, 400, 3, 1200)] + [None]
+    for text in texts:
+        assert abs(model.score(text) - Q.Model(1 + 2j, weights).score(text)) < 1e-9
+        assert len(model.words) <= 500 and max(map(len, model.words), default=0) <= 64
+
+
+def test_counted_features_are_sent_in_parts(monkeypatch):
+    """Features of a batch of ever new words are not gathered as one, and add up to those of each text."""
+    rng = random.Random(5)
+    texts = [b" ".join(b"%x" % rng.getrandbits(16) for _ in range(100)) for _ in range(600)] + [None]
+    labels = [rng.choice([0, 1]) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(labels, pa.int32())], ["text", "toxic"])
+    monkeypatch.setattr(Q, "COUNTED", 1000)
+    made = list(Q._counter("toxic")([batch]))
+    assert len(made) > 10 and max(map(len, made)) < 1500
+    want, got = {}, {}
+    for text, label in zip(texts, labels, strict=True):
+        for f in Q.features_of(text):
+            n, k = want.get(f, (0, 0))
+            want[f] = (n + 1, k + label)
+    for r in (r for part in made for r in part.to_pylist()):
+        n, k = got.get(r["f"], (0, 0))
+        got[r["f"]] = (n + r["n"], k + r["k"])
+    assert got == want
