@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import unquote, urlsplit
@@ -13,6 +16,8 @@ class RangeHandler(BaseHTTPRequestHandler):
     """Answers 200, 206, 400, 403, 404 and 416."""
 
     protocol_version = "HTTP/1.1"
+    #: Answers leave in one piece and at once, as a kept connection would wait for each small one; idle ones end.
+    wbufsize, disable_nagle_algorithm, timeout = 1 << 16, True, 300
 
     def __init__(self, *args, root: str, **more):
         self.root = os.path.realpath(root)
@@ -55,20 +60,38 @@ class RangeHandler(BaseHTTPRequestHandler):
             self.send_header("Content-Range", f"bytes {first}-{last}/{size}")
         self.end_headers()
         if body:
-            with open(path, "rb") as file:
-                file.seek(first)
-                left = last - first + 1
-                while left and (data := file.read(min(left, 1 << 20))):
-                    self.wfile.write(data)
-                    left -= len(data)
+            with open(path, "rb", buffering=0) as file:
+                if last - first < self.wbufsize:
+                    file.seek(first)
+                    self.wfile.write(file.read(last - first + 1))
+                elif last >= first:
+                    self.wfile.flush()
+                    self.connection.sendfile(file, first, last - first + 1)
 
     def log_message(self, *_) -> None:
         pass
 
 
+class _Server(ThreadingHTTPServer):
+    #: Connections that wait to be taken; with too few, those of many tasks are dropped and try again after seconds.
+    request_queue_size = 1024
+
+
 def server(archive_dir: str = "./", port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
     """A server that is not running yet; its port is server_address[1]."""
-    return ThreadingHTTPServer((host, port), partial(RangeHandler, root=archive_dir))
+    return _Server((host, port), partial(RangeHandler, root=archive_dir))
+
+
+@contextmanager
+def served(folder: str, host: str = "127.0.0.1") -> Iterator[str]:
+    """The URL of a server of a folder, on this machine."""
+    running = server(folder, 0, host)
+    threading.Thread(target=running.serve_forever, args=(0.05,), daemon=True).start()
+    try:
+        yield f"http://{host}:{running.server_address[1]}"
+    finally:
+        running.shutdown()
+        running.server_close()
 
 
 def serve(port: int, archive_dir: str = "./", host: str = "127.0.0.1") -> None:
