@@ -29,7 +29,7 @@ from ..operators.batching import numbered
 from ..operators.packing import MAX_BIN_SIZE, compaction
 from ..schemas import check_modality, index_schema, normalised
 from .ranges import decode, fetch
-from .tables import written
+from .tables import in_ranges, written
 
 INDEX = "metadata.parquet"
 
@@ -127,8 +127,9 @@ class Archive:
 
         Ids twice in df are an error before anything is written. Ids that the archive has are left out with a warning,
         unless allowed. Without id_col ids are name_0, name_1, ... from the archive's length on, in order of order_by,
-        which has to be given then. Items are encoded and packed by partition, in order of order_by if there is one;
-        each partition has its own bins, and reshard joins small ones. keep names columns that go to the index. An
+        which has to be given then. Items are encoded and packed by partition: those that df has, or ranges of order_by
+        if there is one, as many as the size of df asks for, or so many partitions as are said. Each partition has its
+        own bins, and reshard joins small ones. keep names columns that go to the index. An
         item that cannot be encoded fails the append and nothing is kept, or is left out if skip_errors.
         """
         if id_col is None:
@@ -148,6 +149,8 @@ class Archive:
                 df = df.join(known, "id", "left_anti")
         if partitions:
             df = df.repartition(partitions, "id") if order_by is None else df.repartitionByRange(partitions, order_by)
+        elif order_by:
+            df = in_ranges(df, order_by)
         if order_by:
             df = df.sortWithinPartitions(order_by)
         if progress is not None:
