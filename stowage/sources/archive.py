@@ -29,7 +29,7 @@ from ..operators.batching import numbered
 from ..operators.packing import MAX_BIN_SIZE, compaction
 from ..schemas import check_modality, index_schema, normalised
 from .ranges import decode, fetch
-from .tables import in_ranges, written
+from .tables import in_ranges, local_folder, written
 
 INDEX = "metadata.parquet"
 
@@ -54,7 +54,7 @@ def with_base(index: DataFrame, base_url: str) -> DataFrame:
 
 
 def remote_index(spark: SparkSession, path: str, base_url: str | None = None) -> DataFrame:
-    """The index of an archive served at a URL, paths rewritten to it (or to base_url); a Hugging Face repository as hub:name."""
+    """The index of an archive served at a URL, paths rewritten to it (or to base_url); a Hugging Face repository as hub:name. The index is copied to the shared folder."""
     if path.startswith("hub:"):
         base = columns.hub_base(path[4:])
         return with_base(remote_index(spark, base), base_url or base)
@@ -62,10 +62,14 @@ def remote_index(spark: SparkSession, path: str, base_url: str | None = None) ->
         return with_base(read_index(spark, path), base_url) if base_url else read_index(spark, path)
     import urllib.request
 
-    with urllib.request.urlopen(index_path(path)) as reply:
-        table = pq.read_table(pa.BufferReader(reply.read()))
+    copy = f"{local_folder(spark)}/index-{uuid.uuid4().hex}.parquet"
+    os.makedirs(os.path.dirname(copy), exist_ok=True)
+    with urllib.request.urlopen(index_path(path)) as reply, open(copy, "wb") as file:
+        shutil.copyfileobj(reply, file, 8 << 20)
     base = base_url or path.removesuffix(INDEX).rstrip("/")
-    return with_base(spark.createDataFrame(table), base)
+    index = with_base(spark.read.parquet(f"file://{copy}"), base)
+    # the file has few splits for what its rows lead to, so they are dealt out, neighbours together
+    return index.repartition(4 * spark.sparkContext.defaultParallelism, "bin_index", F.shiftright("start_byte", 20))
 
 
 class Archive:
@@ -104,12 +108,12 @@ class Archive:
 
     def export_index(self, path: str) -> None:
         """The index as a single Parquet file, for servers and for readers of remote_index; one task writes it."""
-        parts = f"{path}-{uuid.uuid4().hex}"
+        made = f"{path}-{uuid.uuid4().hex}"
         try:
-            self.index().coalesce(1).write.parquet(parts)
-            os.replace(next(f"{parts}/{name}" for name in os.listdir(parts) if name.endswith(".parquet") and not name.startswith(".")), path)
+            self.index().coalesce(1).write.option("parquet.block.size", 4 << 20).parquet(made)
+            os.replace(next(f"{made}/{name}" for name in os.listdir(made) if name.endswith(".parquet") and not name.startswith(".")), path)
         finally:
-            shutil.rmtree(parts, ignore_errors=True)
+            shutil.rmtree(made, ignore_errors=True)
 
     def counts(self, column: str) -> DataFrame:
         return self.index().groupBy(column).agg(F.count("*").alias("n_items"))
