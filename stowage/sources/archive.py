@@ -13,8 +13,10 @@ import os
 import shutil
 import uuid
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -26,9 +28,9 @@ from ..errors import SkippedItemsWarning
 from ..functions import columns
 from ..functions.codecs import registry
 from ..operators.batching import numbered
-from ..operators.packing import MAX_BIN_SIZE, compaction
+from ..operators.packing import MAX_BIN_SIZE, fold
 from ..schemas import check_modality, index_schema, normalised
-from .ranges import decode, fetch
+from .ranges import decode, fetch, parts
 from .tables import in_ranges, local_folder, written
 
 INDEX = "metadata.parquet"
@@ -167,7 +169,7 @@ class Archive:
             shutil.rmtree(scratch, ignore_errors=True)
 
     def _stored(self, df: DataFrame, item: str, keep: tuple[str, ...], scratch: str, skip_errors: bool, options: dict) -> list[dict]:
-        """Write task files; what each task has written: (index file, bins, failures file), a row for each task."""
+        """Write task files; what each task has written: (task, number of bins, whether it has a failures file)."""
         source = df.select("id", F.col(item).alias("__item"), *keep)
         fields = index_schema(self.modality)
         fields = type(fields)(fields.fields + [df.schema[c] for c in keep if c not in fields.names])
@@ -176,7 +178,8 @@ class Archive:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             context = TaskContext.get()
             task = f"{context.partitionId()}-{context.taskAttemptId()}"
-            rows, failed, sizes, out = [], [], [], None
+            rows, failed, bins, held, out = [], [], 0, 0, None
+            os.makedirs(f"{scratch}/{task}")  # a folder of its own, as tasks that make files in one wait for one another
             writer = pq.ParquetWriter(f"{scratch}/index-{task}.parquet", arrow)
 
             def flush() -> None:
@@ -185,25 +188,24 @@ class Archive:
                     rows.clear()
 
             try:
-                for batch in batches:
-                    for row in batch.to_pylist():
-                        try:
-                            payload, meta = registry.encode(modality, row.pop("__item"), **options)
-                        except Exception as error:
-                            if not skip_errors:
-                                raise
-                            failed.append({"id": row["id"], "error": f"{type(error).__name__}: {error}"})
-                            continue
-                        if out is None or (sizes[-1] and sizes[-1] + len(payload) > most):
-                            if out is not None:
-                                out.close()
-                            out = open(f"{scratch}/bin-{task}-{len(sizes)}.bin", "wb")
-                            sizes.append(0)
-                        out.write(payload)
-                        rows.append(meta | row | {"start_byte": sizes[-1], "end_byte": sizes[-1] + len(payload), "bin_index": len(sizes) - 1, "path": ""})
-                        sizes[-1] += len(payload)
-                        if len(rows) >= 50_000:
-                            flush()
+                for row in (row for batch in batches for part in parts(batch) for row in part.to_pylist()):
+                    try:
+                        payload, meta = registry.encode(modality, row.pop("__item"), **options)
+                    except Exception as error:
+                        if not skip_errors:
+                            raise
+                        failed.append({"id": row["id"], "error": f"{type(error).__name__}: {error}"})
+                        continue
+                    if out is None or (held and held + len(payload) > most):
+                        if out is not None:
+                            out.close()
+                        out = open(f"{scratch}/{task}/{bins}.bin", "wb")
+                        bins, held = bins + 1, 0
+                    out.write(payload)
+                    rows.append(meta | row | {"start_byte": held, "end_byte": held + len(payload), "bin_index": bins - 1, "path": ""})
+                    held += len(payload)
+                    if len(rows) >= 10_000:
+                        flush()
                 flush()
             finally:
                 writer.close()
@@ -211,20 +213,19 @@ class Archive:
                     out.close()
             if failed:
                 pq.write_table(pa.Table.from_pylist(failed, pa.schema([("id", pa.string()), ("error", pa.string())])), f"{scratch}/failed-{task}.parquet")
-            yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([sizes], pa.list_(pa.int64())), pa.array([bool(failed)])], ["task", "sizes", "failed"])
+            yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([bins]), pa.array([bool(failed)])], ["task", "bins", "failed"])
 
-        # one small row for each task: names and sizes of its bins
-        found = source.mapInArrow(run, "task string, sizes array<long>, failed boolean").collect()
+        # one small row for each task: its name and how many bins it has written
+        found = source.mapInArrow(run, "task string, bins long, failed boolean").collect()
         return sorted((r.asDict() for r in found), key=lambda r: int(r["task"].partition("-")[0]))
 
     def _commit(self, tasks: list[dict], scratch: str, reshard: bool) -> DataFrame:
         """Number and rename the bins, then put the index rows of all tasks in place by one rename."""
-        first = self.next_bin()
-        placed, number = [], first
+        placed, number = [], self.next_bin()
         for task in tasks:
-            for k, size in enumerate(task["sizes"]):
-                placed.append((task["task"], k, number, f"{scratch}/bin-{task['task']}-{k}.bin", size))
-                number += 1
+            if task["bins"]:
+                placed.append((task["task"], number, task["bins"]))
+                number += task["bins"]
         failed = [f"{scratch}/failed-{t['task']}.parquet" for t in tasks if t["failed"]]
         left = self.spark.createDataFrame([], "id string, error string")
         if failed:  # any number of rows, so a table that outlives the append's own folder; some are shown
@@ -233,21 +234,17 @@ class Archive:
             warnings.warn(f"{left.count()} items could not be encoded and are left out: {shown}", SkippedItemsWarning, stacklevel=4)
         if not placed:
             return left
-        numbers = self.spark.createDataFrame([(t, k, n) for t, k, n, *_ in placed], "__task string, __k long, __bin long")
-        own = self.spark.read.parquet(*[f"{scratch}/index-{t['task']}.parquet" for t in tasks if t["sizes"]])
+        numbers = self.spark.createDataFrame([(task, n) for task, n, _ in placed], "__task string, __first long")
+        own = self.spark.read.parquet(*[f"{scratch}/index-{task}.parquet" for task, *_ in placed])
         own = own.withColumn("__task", F.regexp_extract(F.input_file_name(), r"index-([0-9]+-[0-9]+)\.parquet", 1))
-        made = own.join(F.broadcast(numbers), (own["__task"] == numbers["__task"]) & (own["bin_index"] == numbers["__k"])).drop("__task", "__k")
-        made = made.withColumns({"bin_index": F.col("__bin"), "path": columns.bin_path(self.path, F.col("__bin"))}).drop("__bin")
-        made.write.parquet(f"{scratch}/index")
-        moved = []
+        made = own.join(F.broadcast(numbers), "__task").withColumn("bin_index", F.col("__first") + F.col("bin_index"))
+        made.withColumn("path", columns.bin_path(self.path, F.col("bin_index"))).drop("__task", "__first").write.parquet(f"{scratch}/index")
+        moves = [(f"{scratch}/{task}/", 0, f"{self.path}/blob_", n, bins) for task, n, bins in placed]
         try:
-            for _, _, n, path, _ in placed:
-                os.rename(path, os.path.join(self.path, f"blob_{n}.bin"))
-                moved.append((path, n))
+            _renamed(self.spark, moves)
             self._add_index(f"{scratch}/index")
         except BaseException:
-            for path, n in moved:
-                os.rename(os.path.join(self.path, f"blob_{n}.bin"), path)
+            _renamed(self.spark, _undone(moves))
             raise
         if reshard:
             self.compact()
@@ -270,13 +267,15 @@ class Archive:
 
         New bins are written by one task each, the index anew beside the old one; then both are put in place.
         """
-        sizes = [(r.bin_index, r.n) for r in self.index().groupBy("bin_index").agg(F.max("end_byte").alias("n")).orderBy("bin_index").collect()]
-        moves = compaction(sizes, max_bin_size or self.max_bin_size)
-        if all(old == new for old, new, _ in moves):
+        sizes = self.index().groupBy("bin_index").agg(F.max("end_byte").alias("n")).orderBy("bin_index").toArrow()
+        olds, lengths = (sizes.column(c).to_numpy() for c in ("bin_index", "n"))
+        folded = (x for new, base, _ in fold(lengths.tolist(), max_bin_size or self.max_bin_size) for x in (new, base))
+        news, bases = np.fromiter(folded, np.int64, 2 * len(olds)).reshape(-1, 2).T
+        if (olds == news).all():
             return
-        path, scratch = self.path, os.path.join(self.path, f"_temporary-{uuid.uuid4().hex}")
+        path, scratch, n_new = self.path, os.path.join(self.path, f"_temporary-{uuid.uuid4().hex}"), int(news[-1]) + 1
         os.makedirs(scratch)
-        plan = self.spark.createDataFrame(moves, "old long, new long, base long")
+        plan = self.spark.createDataFrame(pa.table({"old": olds, "new": np.ascontiguousarray(news), "base": np.ascontiguousarray(bases)}))
 
         def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -284,23 +283,36 @@ class Archive:
                     name = f"{scratch}/{new}-{TaskContext.get().taskAttemptId()}"
                     with open(name, "wb") as out:
                         for old in olds:
-                            with open(f"{path}/blob_{old}.bin", "rb") as file:
-                                shutil.copyfileobj(file, out, 8 << 20)
+                            with open(f"{path}/blob_{old}.bin", "rb", buffering=0) as file:
+                                while data := file.read(min(8 << 20, os.fstat(file.fileno()).st_size + 1)):
+                                    out.write(data)
                     os.replace(name, f"{scratch}/blob_{new}.bin")
                 yield pa.RecordBatch.from_arrays([batch.column("new")], ["new"])
 
+        # old bins whose names new ones take are moved away; the others stay in place until none of their rows is left
+        away = [(f"{path}/blob_", first, f"{scratch}/old_", first, n) for first, n in _runs(olds[olds < n_new])]
+        into = [(f"{scratch}/blob_", 0, f"{path}/blob_", 0, n_new)]
         try:
             joined = plan.groupBy("new").agg(F.sort_array(F.collect_list("old")).alias("olds"))
-            joined.repartition(max(1, min(len(sizes), 10_000))).mapInArrow(join, "new long").write.format("noop").mode("overwrite").save()
-            index = self.index().join(F.broadcast(plan), F.col("bin_index") == F.col("old"))
+            tasks = max(4 * self.spark.sparkContext.defaultParallelism, int(lengths.sum()) >> 26)
+            joined.repartition(min(n_new, tasks)).mapInArrow(join, "new long").write.format("noop").mode("overwrite").save()
+            index = self.index().join(plan, F.col("bin_index") == F.col("old"))
             index = index.withColumns({"start_byte": F.col("start_byte") + F.col("base"), "end_byte": F.col("end_byte") + F.col("base"), "bin_index": F.col("new"), "path": columns.bin_path(path, F.col("new"))})
             index.drop("old", "new", "base").write.parquet(f"{scratch}/index/append=0")
-            for old, _ in sizes:
-                os.rename(f"{path}/blob_{old}.bin", f"{scratch}/old_{old}.bin")
-            for new in {new for _, new, _ in moves}:
-                os.rename(f"{scratch}/blob_{new}.bin", f"{path}/blob_{new}.bin")
-            os.rename(index_path(path), f"{scratch}/old_index")
-            os.rename(f"{scratch}/index", index_path(path))
+            begun = []
+            try:
+                for moves in (away, into):
+                    begun.append(moves)
+                    _renamed(self.spark, moves)
+                os.rename(index_path(path), f"{scratch}/old_index")
+                os.rename(f"{scratch}/index", index_path(path))
+            except BaseException:
+                if not self.exists():
+                    os.rename(f"{scratch}/old_index", index_path(path))
+                for moves in reversed(begun):
+                    _renamed(self.spark, _undone(moves))
+                raise
+            _removed(self.spark, [(f"{scratch}/old_", first, n) for *_, first, n in away] + [(f"{path}/blob_", first, n) for first, n in _runs(olds[olds >= n_new])])
         finally:
             shutil.rmtree(scratch, ignore_errors=True)
 
@@ -309,12 +321,71 @@ class Archive:
         if not confirm:
             raise ValueError("clear(confirm=True) deletes the archive's items")
         if self.exists():
-            bins = [r.bin_index for r in self.index().select("bin_index").distinct().collect()]
+            bins = self.index().select("bin_index").distinct().orderBy("bin_index").toArrow().column(0).to_numpy()
             target = index_path(self.path)
             shutil.rmtree(target) if os.path.isdir(target) else os.remove(target)
-            for n in bins:
-                if os.path.exists(f"{self.path}/blob_{n}.bin"):
-                    os.remove(f"{self.path}/blob_{n}.bin")
+            _removed(self.spark, [(f"{self.path}/blob_", first, n) for first, n in _runs(bins)])
+
+
+#: Files that the driver renames or removes by itself, and that one task does when there are more.
+FEW, MANY = 1000, 5000
+
+
+def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
+    """(first, how many) of each run of consecutive numbers, which are in order."""
+    breaks = np.flatnonzero(np.diff(numbers) != 1) + 1
+    return [(int(run[0]), len(run)) for run in np.split(numbers, breaks) if len(run)]
+
+
+def _by_tasks(spark: SparkSession, moves: list[tuple], work: Callable[[tuple], None]) -> None:
+    """work on each of moves, whose last value says how many files it is of: here if they are few, else by tasks."""
+    if sum(m[-1] for m in moves) <= FEW:
+        for move in moves:
+            work(move)
+        return
+    made = [(*[x + at if isinstance(x, int) else x for x in m[:-1]], min(MANY, m[-1] - at)) for m in moves for at in range(0, m[-1], MANY)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                work(tuple(row.values()))
+            yield batch
+
+    names = [f"c{k}" for k in range(len(made[0]))]
+    columns_ = {name: pa.array(column) for name, column in zip(names, zip(*made, strict=True), strict=True)}
+    tasks = spark.createDataFrame(pa.table(columns_)).repartition(min(len(made), 10_000))
+    tasks.mapInArrow(run, tasks.schema).write.format("noop").mode("overwrite").save()
+
+
+def _renamed(spark: SparkSession, moves: list[tuple[str, int, str, int, int]]) -> None:
+    """Rename files, each move being (old name, first number, new name, first number, how many); those renamed already stay."""
+
+    def rename(move: tuple) -> None:
+        old, a, new, b, n = move
+        for k in range(n):
+            try:
+                os.rename(f"{old}{a + k}.bin", f"{new}{b + k}.bin")
+            except FileNotFoundError:
+                if not os.path.exists(f"{new}{b + k}.bin"):
+                    raise
+
+    _by_tasks(spark, moves, rename)
+
+
+def _undone(moves: list[tuple[str, int, str, int, int]]) -> list[tuple[str, int, str, int, int]]:
+    return [(new, b, old, a, n) for old, a, new, b, n in moves]
+
+
+def _removed(spark: SparkSession, runs: list[tuple[str, int, int]]) -> None:
+    """Remove files (name, first number, how many), if they are there."""
+
+    def remove(run: tuple) -> None:
+        name, first, n = run
+        for k in range(first, first + n):
+            with suppress(FileNotFoundError):
+                os.remove(f"{name}{k}.bin")
+
+    _by_tasks(spark, runs, remove)
 
 
 def summary(index: DataFrame) -> DataFrame:
