@@ -3,7 +3,7 @@
 The index, metadata.parquet, is a folder with one folder of Parquet files for each append, so an append adds to it
 by a single rename and never writes old rows again. A single Parquet file of that name is read too and taken
 into the folder form by the first append. Bins and index rows are written by executors to a folder of the append's own;
-the driver renames the bins and then the index, and a failed append leaves the archive as it was. Paths have to be
+the bins are renamed, by tasks if they are many, and then the index, and a failed append leaves the archive as it was. Paths have to be
 on a file system that the driver and the executors share.
 """
 
